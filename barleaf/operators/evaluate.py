@@ -59,11 +59,23 @@ def used_weights(prices: DataFrame, weights: DataFrame, delay: int = 1, gross_ca
 
 def daily_results(prices: DataFrame, weights: DataFrame, costs: Costs = Costs(), delay: int = 1, gross_cap: float = 1.0, position_cap: float = 0.20, cash: float = 100_000.0) -> DataFrame:
     returns, dates, used = used_weights(prices, weights, delay, gross_cap, position_cap)
-    paid = used.join(dates, "i").join(returns, ["date", "ticker"])
-    gross = paid.groupBy("i").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross_ret"))
-    moves = used.unionByName(used.select((F.col("i") + 1).alias("i"), "ticker", (-F.col("weight")).alias("weight")))
-    moved = moves.groupBy("i", "ticker").agg(F.sum("weight").alias("d")).groupBy("i").agg(F.sum(F.abs("d")).alias("turnover"))
-    daily = dates.join(gross, "i", "left").join(moved, "i", "left").fillna(0.0, ["gross_ret", "turnover"])
+    # each weight enters on its date and leaves on the next: one pass gives the
+    # position held and the change, which nets to the turnover
+    steps = used.select(
+        "ticker",
+        F.explode(
+            F.array(
+                F.struct(F.col("i"), F.col("weight").alias("held"), F.col("weight").alias("moved")),
+                F.struct((F.col("i") + 1).alias("i"), F.lit(0.0).alias("held"), (-F.col("weight")).alias("moved")),
+            )
+        ).alias("s"),
+    ).select("ticker", "s.*")
+    net = steps.groupBy("i", "ticker").agg(F.sum("held").alias("held"), F.sum("moved").alias("moved"))
+    paid = net.join(dates, "i").join(returns, ["date", "ticker"], "left")
+    totals = paid.groupBy("i").agg(
+        F.sum(F.col("held") * F.coalesce("ret", F.lit(0.0))).alias("gross_ret"), F.sum(F.abs("moved")).alias("turnover")
+    )
+    daily = dates.join(totals, "i", "left").fillna(0.0, ["gross_ret", "turnover"])
     daily = daily.withColumn("cost", F.col("turnover") * costs.rate)
     daily = daily.withColumn("net_ret", F.col("gross_ret") - F.col("cost"))
     return with_equity(daily, cash).drop("i")
@@ -98,6 +110,8 @@ def drawdowns(daily: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def metrics(daily: DataFrame, by: tuple[str, ...] = (), benchmark: DataFrame | None = None) -> DataFrame:
     """One row (per group) of performance figures over daily net returns."""
     df = drawdowns(daily, by)
+    # one row per date and group, so the quantile can ride along as a window
+    df = df.withColumn("_cut", F.percentile("net_ret", F.lit(0.05)).over(Window.partitionBy(*by)))
     if benchmark is not None:
         df = df.join(benchmark.select("date", F.col("ret").alias("_bench")), "date", "left")
     r, n = F.col("net_ret"), F.count("net_ret")
@@ -115,7 +129,8 @@ def metrics(daily: DataFrame, by: tuple[str, ...] = (), benchmark: DataFrame | N
         .otherwise(0.0),
         "max_drawdown": F.min("drawdown"),
         "hit_rate": F.avg((r > 0).cast("double")),
-        "var_5pct": F.percentile(r, F.lit(0.05)),
+        "var_5pct": F.first("_cut"),
+        "cvar_5pct": F.avg(F.when(r <= F.col("_cut"), r)),
         "total_turnover": F.sum("turnover"),
     }
     if benchmark is not None:
@@ -123,18 +138,7 @@ def metrics(daily: DataFrame, by: tuple[str, ...] = (), benchmark: DataFrame | N
         figures["excess_annual"] = F.avg(x) * TRADING_DAYS
         figures["information_ratio"] = F.when(F.stddev_samp(x) > 0, F.avg(x) / F.stddev_samp(x) * year)
     out = df.groupBy(*by).agg(*[c.alias(k) for k, c in figures.items()])
-    out = out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0))
-    tail = tail_mean(df, out, by)
-    return out.join(tail, list(by), "left") if by else out.withColumn("cvar_5pct", tail.scalar())
-
-
-def tail_mean(df: DataFrame, figures: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Mean of the returns at or below the 5 % quantile."""
-    if by:
-        cut = df.join(figures.select(*by, "var_5pct"), list(by))
-        return cut.filter("net_ret <= var_5pct").groupBy(*by).agg(F.avg("net_ret").alias("cvar_5pct"))
-    line = figures.select("var_5pct").scalar()
-    return df.filter(F.col("net_ret") <= line).agg(F.avg("net_ret").alias("cvar_5pct"))
+    return out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0))
 
 
 def attribution(prices: DataFrame, weights: DataFrame, **limits) -> DataFrame:

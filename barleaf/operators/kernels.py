@@ -64,30 +64,30 @@ def standardised(c: str, by: str = "date") -> Column:
 
 
 def kept_dates(rows: DataFrame, every: int) -> DataFrame:
-    """Every n-th distinct date of ``rows``; a table of one row per date."""
+    """Every n-th distinct date of ``rows`` with its period number from 1.
+
+    The numbering window runs on a table of one row per date.
+    """
     order = Window.orderBy("date")
     dates = rows.select("date").distinct().withColumn("_i", F.row_number().over(order) - 1)
-    return dates.filter(F.col("_i") % every == 0).select("date")
+    return dates.filter(F.col("_i") % every == 0).select("date", (F.col("_i") / every + 1).cast("int").alias("_period"))
 
 
 def hold_between(sparse: DataFrame, tickers: DataFrame, kept: DataFrame, features: DataFrame) -> DataFrame:
     """Carry each rebalance weight to the dates before the name's next one.
 
-    Dates are numbered by the rebalance period they fall in (period 0 lies
-    before the first).  A name absent from a rebalance date keeps its older
-    weight; a name without one yet holds 0.
+    ``sparse`` holds (date, ticker, weight) on kept dates.  Dates are numbered
+    by the period they fall in, 0 before the first kept date.  A name absent
+    from a rebalance date keeps its older weight; one without any holds 0.
     """
-    cal = (
-        features.select("date").distinct().join(kept.withColumn("_kept", F.lit(1)), "date", "left")
-        .withColumn("_period", F.coalesce(F.sum("_kept").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-        .select("date", "_period")
-    )
-    marks = sparse.filter(F.col("weight").isNotNull()).join(cal, "date").select("ticker", "_period", "weight")
-    start = tickers.select("ticker", F.lit(0).cast("long").alias("_period"), F.lit(0.0).alias("weight"))
-    spans = marks.unionByName(start)
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    cal = features.select("date").distinct().join(kept, "date", "left")
+    cal = cal.select("date", F.coalesce(F.max("_period").over(upto), F.lit(0)).alias("_period"))
+    marks = sparse.filter(F.col("weight").isNotNull()).join(kept, "date").select("ticker", "_period", "weight")
+    start = tickers.select("ticker", F.lit(0).alias("_period"), F.lit(0.0).alias("weight"))
     upcoming = F.lead("_period").over(Window.partitionBy("ticker").orderBy("_period"))
-    final = cal.agg(F.max("_period")).scalar()
-    spans = spans.withColumn("_to", F.coalesce(upcoming - 1, final)).filter("_to >= _period")
+    final = kept.agg(F.max("_period")).scalar()
+    spans = marks.unionByName(start).withColumn("_to", F.coalesce(upcoming - 1, final)).filter("_to >= _period")
     spread = spans.select("ticker", "weight", F.explode(F.sequence("_period", "_to")).alias("_period"))
     return spread.join(cal, "_period").select("date", "ticker", "weight")
 
@@ -95,8 +95,7 @@ def hold_between(sparse: DataFrame, tickers: DataFrame, kept: DataFrame, feature
 def rebalance(signal: DataFrame, features: DataFrame, every: int) -> DataFrame:
     """Keep every n-th signal date of finished weights and hold in between."""
     kept = kept_dates(signal, every)
-    sparse = signal.join(kept, "date", "left_semi")
-    return hold_between(sparse, signal.select("ticker").distinct(), kept, features)
+    return hold_between(signal, signal.select("ticker").distinct(), kept, features)
 
 
 def rebalance_rows(rows: DataFrame, weigh: Weigher, features: DataFrame, every: int) -> DataFrame:
@@ -105,5 +104,5 @@ def rebalance_rows(rows: DataFrame, weigh: Weigher, features: DataFrame, every:
     The rows of dates that are not kept are dropped before ``weigh`` ranks.
     """
     kept = kept_dates(rows, every)
-    sparse = weigh(rows.join(kept, "date", "left_semi"))
+    sparse = weigh(rows.join(kept.select("date"), "date", "left_semi"))
     return hold_between(sparse, rows.select("ticker").distinct(), kept, features)

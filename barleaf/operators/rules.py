@@ -389,7 +389,7 @@ def blend(name: str, needs: str, ranks: dict[str, bool], combine: str, k: int, e
             return K.rebalance_rows(rows, weigh, f, every)
         passing = rows.filter(after)
         kept = K.kept_dates(passing, every)
-        sparse = weigh(rows.join(kept, "date", "left_semi"))
+        sparse = weigh(rows.join(kept.select("date"), "date", "left_semi"))
         return K.hold_between(sparse, passing.select("ticker").distinct(), kept, f)
 
     RULES[name] = Rule(name, build, tuple(needs.split()))
@@ -426,7 +426,7 @@ def _trend_and_reversion(f):
 
     signal = rows.filter("mom_20d is not null")
     kept = K.kept_dates(signal, 10)
-    sparse = weigh(rows.join(kept, "date", "left_semi"))
+    sparse = weigh(rows.join(kept.select("date"), "date", "left_semi"))
     return K.hold_between(sparse, signal.select("ticker").distinct(), kept, f)
 
 
