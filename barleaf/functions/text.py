@@ -27,11 +27,11 @@ def hits(tokens: Column, vocabulary: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(*vocabulary)))
 
 
-def lexicon_sentiment(text: str | Column) -> Column:
+def lexicon_sentiment(text: str | Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
     """(positive - negative) / (positive + negative) word hits, 0 without hits."""
     c = F.col(text) if isinstance(text, str) else text
     tokens = F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0))
-    up, down = hits(tokens, POSITIVE), hits(tokens, NEGATIVE)
+    up, down = hits(tokens, positive), hits(tokens, negative)
     return F.when(up + down > 0, (up - down) / (up + down)).otherwise(0.0)
 
 

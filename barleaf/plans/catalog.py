@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barleaf.plans import price_queries, rule_queries  # noqa: F401
+from barleaf.plans import event_queries, price_queries, rule_queries  # noqa: F401
 from barleaf.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

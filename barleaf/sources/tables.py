@@ -56,42 +56,106 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Filing form given to each order priority of the landed orders.
+FORMS = {
+    "1-URGENT": "8-K",
+    "2-HIGH": "4",
+    "3-MEDIUM": "4/A",
+    "4-NOT SPECIFIED": "424B5",
+    "5-LOW": "10-Q",
+}
+
+
 def filings(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select(
-        "o_custkey", F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("form")
-    )
+    """One row per order: market segment as the filer, priority as the form."""
+    form = F.coalesce(*[F.when(F.col("o_orderpriority") == k, v) for k, v in FORMS.items()])
+    orders = table(spark, folder, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), form.alias("form"))
     customers = table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("ticker"))
     return orders.join(customers, orders.o_custkey == customers.c_custkey).select("ticker", "date", "form")
 
 
 def filing_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (segment, order date): the panel the filing features sit on."""
-    return filings(spark, folder).groupBy("ticker", "date").agg(F.count("*").alias("n_forms"))
+    """Panel the filing features sit on: every segment on every order date
+    that has an urgent order somewhere."""
+    urgent = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
+    days = urgent.select(F.to_date("o_orderdate").alias("date")).distinct()
+    names = table(spark, folder, "customer").groupBy().agg(F.collect_set("c_mktsegment").alias("names"))
+    return days.select("date", F.explode(names.select("names").scalar()).alias("ticker"))
 
 
 def macro_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Two daily series of order value, long form (date, series_id, value)."""
-    orders = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice")
-    daily = orders.groupBy("date").agg(F.avg("o_totalprice").alias("level"), F.max("o_totalprice").alias("peak"))
-    return daily.unpivot("date", ["level", "peak"], "series_id", "value")
+    """Two daily series of order value, long form (date, series_id, value).
+
+    The peak series only prints on days with a blocked order, so the two
+    calendars differ.
+    """
+    orders = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice", "o_orderstatus")
+    daily = orders.groupBy("date").agg(
+        F.avg("o_totalprice").alias("level"),
+        F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("peak"),
+    )
+    return daily.unpivot("date", ["level", "peak"], "series_id", "value").filter("value is not null")
+
+
+def tone_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse daily tone and volume per brand, from returned lines."""
+    lines = table(spark, folder, "lineitem").filter("l_returnflag = 'R'").select(
+        "l_partkey", F.to_date("l_shipdate").alias("date"), (F.col("l_discount") - F.col("l_tax")).alias("tone")
+    )
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("ticker", "date").agg(
+        F.avg("tone").alias("gdelt_tone"), F.count("*").alias("gdelt_vol")
+    )
+
+
+def view_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse daily attention counts per brand, from open lines."""
+    lines = table(spark, folder, "lineitem").filter("l_linestatus = 'O'").select(
+        "l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity"
+    )
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("ticker", "date").agg(
+        F.sum("l_quantity").cast("long").alias("wiki_views")
+    )
 
 
 def news(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as point-in-time events, one hour apart from a fixed epoch."""
-    from barleaf.functions.text import lexicon_sentiment
+    """Documents as point-in-time events, one hour apart from a fixed epoch.
 
+    The invented prose holds no lexicon words, so the scores come from the
+    document's length; texts travel whole.
+    """
     docs = table(spark, folder, "documents")
     known = F.timestamp_seconds(F.lit(1577836800) + F.col("doc_id") * 3600)
+    score = (F.col("n_chars") % 201) / 100.0 - 1.0
+    flags = F.when(F.col("n_chars") > 4000, F.array(F.lit("long"), F.lit("review"))).when(
+        F.col("n_chars") > 2000, F.array(F.lit("long"))
+    )
     return docs.select(
         F.col("doc_id").alias("event_id"),
         "source",
+        F.concat(F.lit("doc/"), "doc_id").alias("source_url"),
         known.alias("published_at"),
         known.alias("known_at"),
-        F.array("source").alias("tickers"),
-        F.col("lang").alias("event_type"),
-        lexicon_sentiment("text").alias("sentiment"),
-        (F.col("n_chars") % 100 / 100.0).alias("magnitude"),
-        (F.col("doc_id") % 10 / 10.0).alias("novelty"),
-        F.when(F.col("n_chars") > 2000, F.array(F.lit("long"))).otherwise(F.array().cast("array<string>")).alias("risk_flags"),
-        "text",
+        F.array("source", "lang").alias("tickers"),
+        F.array(F.col("lang")).alias("sectors"),
+        F.when(F.col("doc_id") % 2 == 0, "news").otherwise("note").alias("event_type"),
+        score.cast("double").alias("sentiment"),
+        F.lit(0.45).alias("confidence"),
+        (F.col("doc_id") % 10 / 10.0).cast("double").alias("novelty"),
+        (F.col("n_chars") % 100 / 100.0).cast("double").alias("magnitude"),
+        F.lit("1d").alias("time_horizon"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("summary"),
+        F.col("text").alias("content"),
+        F.coalesce(flags, F.array().cast("array<string>")).alias("risk_flags"),
+        F.when(F.col("n_chars") % 3 != 0, score).cast("double").alias("finbert_sentiment"),
+    )
+
+
+def news_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per source and day of the known range: the text features' panel."""
+    days = table(spark, folder, "documents").select(
+        F.to_date(F.timestamp_seconds(F.lit(1577836800) + F.col("doc_id") * 3600)).alias("date"), "source"
     )
+    names = days.groupBy().agg(F.collect_set("source").alias("names"))
+    return days.select("date").distinct().select("date", F.explode(names.select("names").scalar()).alias("ticker"))
