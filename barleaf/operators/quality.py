@@ -33,7 +33,7 @@ def sanitize_bars(df: DataFrame) -> DataFrame:
 
 
 def check_bars(df: DataFrame, missing_limit: float = 0.05) -> DataFrame:
-    """One row per check: (check, passed, failures).
+    """One row per check: (check_name, passed, failures).
 
     Key uniqueness pre-aggregates by (date, ticker); every other check shares
     the second aggregation over the same groups, so the bars are read once.
@@ -42,7 +42,7 @@ def check_bars(df: DataFrame, missing_limit: float = 0.05) -> DataFrame:
     if not has_all:
         absent = sorted(set(REQUIRED) - set(df.columns))
         return df.sparkSession.createDataFrame(
-            [("has_required_columns", False, len(absent))], "check string, passed boolean, failures long"
+            [("has_required_columns", False, len(absent))], "check_name string, passed boolean, failures long"
         )
     flags = {
         "ohlc_sanity": range_broken(),
@@ -64,13 +64,13 @@ def check_bars(df: DataFrame, missing_limit: float = 0.05) -> DataFrame:
     return total.select(
         F.explode(
             F.array(
-                F.struct(F.lit("has_required_columns").alias("check"), F.lit(True).alias("passed"), F.lit(0).cast("long").alias("failures")),
+                F.struct(F.lit("has_required_columns").alias("check_name"), F.lit(True).alias("passed"), F.lit(0).cast("long").alias("failures")),
                 *[
-                    F.struct(F.lit(n).alias("check"), (F.col(n) == 0).alias("passed"), F.col(n).cast("long").alias("failures"))
+                    F.struct(F.lit(n).alias("check_name"), (F.col(n) == 0).alias("passed"), F.col(n).cast("long").alias("failures"))
                     for n in ("no_duplicate_date_ticker", *flags)
                 ],
                 F.struct(
-                    F.lit("missing_under_5pct").alias("check"),
+                    F.lit("missing_under_5pct").alias("check_name"),
                     (worst / F.col("_rows") < missing_limit).alias("passed"),
                     worst.cast("long").alias("failures"),
                 ),
@@ -86,7 +86,7 @@ def check_events(df: DataFrame) -> DataFrame:
         F.count_if((F.col("sentiment") < -1.0) | (F.col("sentiment") > 1.0)).alias("wide"),
     )
     rows = [
-        F.struct(F.lit(name).alias("check"), ok.alias("passed"))
+        F.struct(F.lit(name).alias("check_name"), ok.alias("passed"))
         for name, ok in {
             "non_empty": F.col("_rows") > 0,
             "known_at_after_published": F.col("late") == 0,

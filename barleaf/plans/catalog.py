@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barleaf.plans import event_queries, price_queries, rule_queries, source_queries  # noqa: F401
+from barleaf.plans import (  # noqa: F401
+    decision_queries,
+    event_queries,
+    price_queries,
+    rule_queries,
+    source_queries,
+)
 from barleaf.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
