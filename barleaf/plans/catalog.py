@@ -10,6 +10,7 @@ from barleaf.plans import (  # noqa: F401
     price_queries,
     rule_queries,
     source_queries,
+    text_queries,
 )
 from barleaf.plans.registry import ORACLES, QUERIES
 

@@ -234,8 +234,8 @@ add_query(
 
 
 def pages(s, d):
-    title, body = S.article_text("html")
-    return T.table(s, d, "pages").select("page_id", title.alias("title"), F.md5(body).alias("body_md5"), F.length(body).alias("n_chars"))
+    df = S.article_text(T.table(s, d, "pages"), "html")
+    return df.select("page_id", "title", F.md5("body").alias("body_md5"), F.length("body").alias("n_chars"))
 
 
 def plain_sql(x: str) -> str:

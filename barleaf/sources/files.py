@@ -286,11 +286,16 @@ def paragraphs(block: Column, at_least: int = 40) -> Column:
     return F.array_join(F.filter(texts, lambda t: F.length(t) >= at_least), " ")
 
 
-def article_text(html: str, fallback: str = "") -> tuple[Column, Column]:
-    """(title, text) of a page, built from string and array functions only."""
+def article_text(df: DataFrame, html: str, fallback: str = "") -> DataFrame:
+    """Add ``title`` and ``body`` of a page, by string and array functions only.
+
+    Each step is its own projection so that a page is cleaned once.
+    """
     raw = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
     for tag in NOISE:
         raw = F.regexp_replace(raw, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+    df = df.withColumn("_raw", raw)
+    raw = F.col("_raw")
 
     def first(pattern):
         return F.regexp_extract(raw, pattern, 1)
@@ -300,18 +305,20 @@ def article_text(html: str, fallback: str = "") -> tuple[Column, Column]:
 
     social = first(r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)""")
     heading = first(r"(?is)<title[^>]*>(.*?)</title")
-    title = F.coalesce(F.nullif(plain(social), F.lit("")), F.nullif(plain(heading), F.lit("")), F.lit(fallback))
     found = [
         blocks(r"(?is)<article\b[^>]*>(.*?)</article\s*>"),
         blocks(r"(?is)<main\b[^>]*>(.*?)</main\s*>"),
         blocks(r"""(?is)<div[^>]*role=["']main["'][^>]*>(.*?)</div\s*>"""),
         *[blocks(rf"""(?is)<div[^>]*class=["'][^"']*\b{c}\b[^"']*["'][^>]*>(.*?)</div\s*>""") for c in CLASSES],
     ]
-    texts = F.transform(F.flatten(F.array(*found)), lambda b: paragraphs(b))
-    longest = F.aggregate(texts, F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
     described = plain(first(r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)"""))
-    body = F.coalesce(F.nullif(longest, F.lit("")), F.nullif(paragraphs(raw), F.lit("")), described)
-    return title, body
+    df = df.withColumn("_texts", F.transform(F.flatten(F.array(*found)), lambda b: paragraphs(b)))
+    longest = F.aggregate("_texts", F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
+    df = df.withColumn("_long", longest)
+    title = F.coalesce(F.nullif(plain(social), F.lit("")), F.nullif(plain(heading), F.lit("")), F.lit(fallback))
+    # the whole page's paragraphs and the description only matter without a container
+    body = F.when(F.col("_long") != "", F.col("_long")).otherwise(F.coalesce(F.nullif(paragraphs(raw), F.lit("")), described))
+    return df.withColumns({"title": title, "body": body}).drop("_raw", "_texts", "_long")
 
 
 FEED = (
