@@ -70,8 +70,9 @@ def combinatorial_dates(df: DataFrame, horizon_days: int, n_groups: int = 6, n_t
     paths = dates.select("date", "grp", table.alias("p")).select("date", "grp", "p.*")
     pad = horizon_days + embargo_days
     edges = spans.agg(F.array_sort(F.collect_list(F.struct("grp", "lo", "hi")))).scalar()
+    paths = paths.withColumn("_edges", edges)
     near = F.exists(
-        F.filter(edges, lambda s: F.array_contains(F.col("held"), s["grp"])),
+        F.filter("_edges", lambda s: F.array_contains(F.col("held"), s["grp"])),
         lambda s: F.col("date").between(F.date_sub(s["lo"], pad), F.date_add(s["hi"], pad)),
     )
     test = F.array_contains("held", F.col("grp"))

@@ -40,11 +40,14 @@ def common_dates(returns: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def cap_weights(weights: DataFrame, position_cap: float = 0.20, gross_cap: float = 1.0, by: tuple[str, ...] = ("date",)) -> DataFrame:
-    """Clip each weight, then scale dates whose gross exposure exceeds the cap."""
+    """Clip each weight, then scale dates whose gross exposure exceeds the cap.
+
+    A date holds one weight per name, so the gross is a window over the date.
+    """
     clipped = weights.withColumn("weight", F.least(F.greatest(F.col("weight"), F.lit(-position_cap)), F.lit(position_cap)))
-    gross = clipped.groupBy(*by).agg(F.sum(F.abs("weight")).alias("_gross"))
+    clipped = clipped.withColumn("_gross", F.sum(F.abs("weight")).over(Window.partitionBy(*by)))
     scale = F.when(F.col("_gross") > gross_cap, gross_cap / F.greatest("_gross", F.lit(1e-12))).otherwise(1.0)
-    return clipped.join(gross, list(by)).withColumn("weight", F.col("weight") * scale).drop("_gross")
+    return clipped.withColumn("weight", F.col("weight") * scale).drop("_gross")
 
 
 def used_weights(prices: DataFrame, weights: DataFrame, delay: int = 1, gross_cap: float = 1.0, position_cap: float = 0.20):

@@ -1,7 +1,8 @@
 """Position sizing, limits, allocation and orders.
 
-A book is the set of names that share a ``by`` key (a date, by default); sums
-within a book are partial aggregates joined back on the key.
+A book is the set of names that share a ``by`` key (a date, by default).  It
+holds at most one row per name, so sums within a book are windows over that key:
+one exchange serves every step of a sizing chain.
 """
 
 from __future__ import annotations
@@ -15,14 +16,13 @@ BOOK = ("date",)
 
 
 def total(df: DataFrame, value: Column, name: str, by=BOOK) -> DataFrame:
-    return df.join(df.groupBy(*by).agg(F.sum(value).alias(name)), list(by))
+    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by)))
 
 
 def equal_weight(weights: DataFrame) -> DataFrame:
     """1/n over the positive weights of each date."""
     live = weights.filter("weight > 0")
-    sizes = live.groupBy("date").agg(F.count("*").alias("_n"))
-    return live.join(sizes, "date").select("date", "ticker", (1.0 / F.col("_n")).alias("weight"))
+    return live.select("date", "ticker", (1.0 / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
 
 
 def vol_target(weights: DataFrame, vol: DataFrame, target: float = 0.15, column: str = "vol_20d") -> DataFrame:
@@ -66,8 +66,8 @@ def cap_and_redistribute(weights: DataFrame, cap: float, by=BOOK) -> DataFrame:
     df = df.withColumn("_capped", (factor * F.col("weight") > cap + 1e-12).cast("int"))
     # capped names form a prefix; the first one that is not fixes the factor
     df = df.withColumn("_factor", F.when(F.col("_capped") == 0, factor))
-    first = df.groupBy(*by).agg(F.min_by("_factor", F.when(F.col("_capped") == 0, F.col("_r"))).alias("_lift"), F.min(F.when(F.col("_capped") == 0, F.col("_r"))).alias("_k"))
-    df = df.join(first, list(by))
+    book, free = Window.partitionBy(*by), F.when(F.col("_capped") == 0, F.col("_r"))
+    df = df.withColumns({"_lift": F.min_by("_factor", free).over(book), "_k": F.min(free).over(book)})
     lifted = F.when(F.col("_k").isNull() | (F.col("_r") < F.col("_k")), F.lit(cap)).otherwise(F.col("_lift") * F.col("weight"))
     return df.withColumn("weight", lifted).drop("_all", "_r", "_above", "_capped", "_factor", "_lift", "_k")
 
@@ -77,8 +77,7 @@ def blend(conviction: DataFrame, parity: DataFrame, share: float = 0.5, cap: flo
     parity leg (too little history) use equal weights for it."""
     keys = [*by, "ticker"]
     k = total(conviction.withColumn("_k", F.greatest("score", F.lit(0.0))), F.col("_k"), "_ksum", by)
-    sizes = k.groupBy(*by).agg(F.count("*").alias("_n"))
-    k = k.join(sizes, list(by)).join(parity.select(*keys, F.col("weight").alias("_h")), keys, "left")
+    k = k.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).join(parity.select(*keys, F.col("weight").alias("_h")), keys, "left")
     lead = F.when(F.col("_ksum") > 0, F.col("_k") / F.col("_ksum")).otherwise(1.0 / F.col("_n"))
     raw = k.withColumn("weight", (1.0 - share) * lead + share * F.coalesce("_h", 1.0 / F.col("_n")))
     raw = total(raw, F.col("weight"), "_wsum", by).withColumn("weight", F.col("weight") / F.col("_wsum"))
@@ -91,8 +90,8 @@ def to_positions(weights: DataFrame, deployable: Column, min_position: float = 5
     live = weights.filter(F.col("price") > 0)
     df = total(live, F.col("weight"), "_sum", by).withColumn("weight", F.col("weight") / F.col("_sum"))
     df = df.withColumn("_big", F.col("weight") * deployable >= min_position)
-    kept = df.groupBy(*by).agg(F.sum(F.when(F.col("_big"), F.col("weight"))).alias("_kept"))
-    df = df.join(kept, list(by)).filter(F.col("_big") | F.col("_kept").isNull())
+    kept = F.sum(F.when(F.col("_big"), F.col("weight"))).over(Window.partitionBy(*by))
+    df = df.withColumn("_kept", kept).filter(F.col("_big") | F.col("_kept").isNull())
     df = df.withColumn("weight", F.col("weight") / F.coalesce("_kept", F.lit(1.0)))
     df = df.withColumn("dollars", F.col("weight") * deployable)
     return df.withColumn("shares", F.col("dollars") / F.col("price")).withColumn("whole_shares", F.floor(F.col("dollars") / F.col("price"))).drop("_sum", "_big", "_kept")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barleaf.plans import (  # noqa: F401
     decision_queries,
     event_queries,
+    forecast_queries,
     price_queries,
     rule_queries,
     source_queries,
