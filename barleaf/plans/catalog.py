@@ -8,9 +8,11 @@ from barleaf.plans import (  # noqa: F401
     decision_queries,
     event_queries,
     forecast_queries,
+    nonlinear_queries,
     price_queries,
     rule_queries,
     source_queries,
+    stream_queries,
     text_queries,
 )
 from barleaf.plans.registry import ORACLES, QUERIES
