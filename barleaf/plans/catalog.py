@@ -8,6 +8,7 @@ from barleaf.plans import (  # noqa: F401
     decision_queries,
     event_queries,
     forecast_queries,
+    learned_queries,
     nonlinear_queries,
     price_queries,
     rule_queries,

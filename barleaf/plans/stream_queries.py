@@ -19,7 +19,7 @@ def stream_ticks(s, d) -> DataFrame:
     """The events table read as a file stream."""
     batch = T.table(s, d, "events")
     raw = s.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return raw.select("event_id", "ts", F.col("event_type").alias("ticker"), F.col("value").alias("price"))
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("ticker"), F.col("value").alias("price"))
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
