@@ -45,11 +45,13 @@ def near_copies(articles: DataFrame, threshold: float = 0.90) -> DataFrame:
     decided; others wait for the next round, where the groups have shrunk.
     ``articles`` needs (ticker, id, text).
     """
-    sets = articles.select("ticker", "id", token_set("text").alias("tokens")).filter(F.size("tokens") > 0)
-    first = sets.groupBy("ticker", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("_key")).agg(F.min("id").alias("_first"))
-    keyed = sets.withColumn("_key", F.sha2(F.concat_ws(" ", "tokens"), 256)).join(first, ["ticker", "_key"])
-    copies = keyed.filter("id <> _first").select("ticker", "id")
-    reps = cut(keyed.filter("id = _first").select("ticker", "id", "tokens"))
+    # token sets are written once: every later step reads them several times
+    sets = cut(articles.select("ticker", "id", token_set("text").alias("tokens"))).filter(F.size("tokens") > 0)
+    keyed = sets.withColumn("_key", F.sha2(F.concat_ws(" ", "tokens"), 256))
+    first = keyed.groupBy("ticker", "_key").agg(F.min("id").alias("_first"))
+    names = keyed.select("ticker", "id", "_key").join(first, ["ticker", "_key"])
+    copies = names.filter("id <> _first").select("ticker", "id")
+    reps = sets.join(names.filter("id = _first").select("ticker", "id"), ["ticker", "id"])
     postings = cut(rare_prefixes(reps, threshold))
 
     undecided, dropped = reps.select("ticker", "id"), copies
@@ -102,15 +104,15 @@ def word_list(text: Column, stop: list[str]) -> Column:
 
 
 def explode_grams(df: DataFrame, text: Column, stop: list[str], keep: list[str]) -> DataFrame:
-    """One row per word and per pair of neighbouring words.
+    """One row per word and per pair of neighbouring words, in one pass.
 
     The word list is its own projection, so each text is split once.
     """
-    words = df.select(*keep, F.posexplode(word_list(text, stop)).alias("_at", "term"))
     lists = df.select(*keep, word_list(text, stop).alias("_w"))
-    nexts = lists.select(*keep, F.explode(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.size("_w")).alias("b"))).alias("p"))
-    pairs = nexts.filter("p.b is not null").select(*keep, F.concat_ws(" ", "p.a", "p.b").alias("term"))
-    return words.drop("_at").unionByName(pairs)
+    nexts = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.size("_w")).alias("b"))
+    rows = lists.select(*keep, F.explode(nexts).alias("p"))
+    pair = F.when(F.col("p.b").isNotNull(), F.concat_ws(" ", "p.a", "p.b"))
+    return rows.select(*keep, F.explode(F.array(F.col("p.a"), pair)).alias("term")).filter("term is not null")
 
 
 def tfidf_search(docs: DataFrame, query: str, k: int = 6, as_of: Column | None = None, stop: list[str] | None = None) -> DataFrame:
