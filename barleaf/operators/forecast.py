@@ -257,8 +257,8 @@ def walk_forward(rows: DataFrame, folds: DataFrame, features: list[str], target:
 
 
 def importance(rows: DataFrame, model: DataFrame, features: list[str]) -> DataFrame:
-    """Mean absolute contribution per feature, largest first."""
-    df = rows.dropna(subset=features).join(F.broadcast(model))
+    """Mean absolute contribution per feature, largest first (one-row model)."""
+    df = rows.dropna(subset=features).withColumns({c: model.select(c).scalar() for c in ("beta", "mean")})
     means = df.agg(*[F.avg(F.abs(c)).alias(f) for f, c in zip(features, linear_contributions(features), strict=True)])
     return means.unpivot([], features, "feature", "importance").orderBy(F.desc("importance"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import os
 import random
 
 import numpy as np
@@ -331,3 +332,34 @@ def test_stream_bars_equal_batch_bars(spark):
     batch = {tuple(r) for r in QUERIES["live_bars"](spark, d).collect()}
     stream = {tuple(r) for r in QUERIES["live_bars_stream"](spark, d).collect()}
     assert stream <= batch and len(batch) - len(stream) < 20
+
+
+def test_streamed_prices_resolve_each_prediction_once(spark, tmp_path):
+    from barleaf.streaming import live
+
+    day = lambda n: START + dt.timedelta(days=n)
+    asked = spark.createDataFrame([("A", day(2), 5, 100.0, 0.0, 110.0, 500.0), ("A", day(2), 60, 100.0, 0.0, 110.0, 500.0)], "ticker string, as_of date, horizon_days int, entry_price double, band_lo double, band_median double, band_hi double")
+    preds = C.record(None, asked, "test")
+    write = live.resolving_sink(preds, str(tmp_path / "prices"), str(tmp_path / "out"))
+    frame = lambda a, b: spark.createDataFrame([("A", day(i), 100.0 * 1.01**i) for i in range(a, b)], "ticker string, date date, adj_close double")
+    for number, (a, b) in enumerate([(0, 5), (5, 20), (15, 40)]):
+        write(frame(a, b), number)
+    done = spark.read.parquet(str(tmp_path / "out"))
+    assert done.count() == 1 and done.first()["hit"] and done.first()["matured_on"] == day(7)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    from barleaf.streaming import live
+
+    t0 = dt.datetime(2024, 1, 1, 9, 0)
+    schema = "event_id long, ts timestamp, ticker string, price double"
+    # Spark judges lateness by the watermark of the batch before, hence minute 61
+    for k, minute in enumerate((0, 60, 61, 1)):
+        spark.createDataFrame([(k, t0 + dt.timedelta(minutes=minute), "A", 1.0 + k)], schema).coalesce(1).write.parquet(str(tmp_path / f"in/batch={k}"))
+        for part in (tmp_path / f"in/batch={k}").glob("*.parquet"):
+            os.utime(part, (1_700_000_000 + 100 * k,) * 2)
+    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = live.bars(ticks).writeStream.format("memory").queryName("late_bars").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    assert dropped == 1 and spark.table("late_bars").count() >= 1
