@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barleaf.llm import bpe, lines, packing, simhash, token_files
+from barleaf.llm import bpe, lines, packing, pages, partitions, quality, secrets, simhash, token_files, unigram
 from barleaf.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -39,17 +40,43 @@ def token_file_rows(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.checksums(token_files.keys_of(docs), written)
 
 
+@query("op3_unigram_counts")
+def unigram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(table(spark, folder, "documents"), PIECE_VOCABULARY)
+
+
+@query("op4_host_suffixes")
+def host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(table(spark, folder, "pages"))
+
+
 @query("op5_hierarchical_packing")
 def hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), BYTE_VOCABULARY, 0)
 
 
+@query("op6_secret_forest")
+def secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "word_index", "nth", "form", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 @query("op7_prefix_bpe")
 def prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), WORD_VOCABULARY)
 
 
+@query("op8_subword_embeddings")
+def subword_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op9_line_rules")
 def line_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = lines.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_learned_partitions")
+def learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return partitions.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)

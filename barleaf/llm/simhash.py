@@ -180,3 +180,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = label.join(root, "label").select("fp", "component_id")
     known = stored(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: one row each.
+
+    A row is told by its id and its text, so ids given to several texts are safe;
+    the group's smallest id stays.
+    """
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    keyed = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
+    chosen = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), **options).select(F.col("component_id").alias("_key")).distinct()
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
