@@ -201,9 +201,13 @@ def score(docs: DataFrame, model: tuple[bytes, float] | float, doc_id: str = "do
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``THRESHOLD`` or more."""
-    model = train(sample(docs, labels, rows, doc_id, text, label))
+def keep(docs: DataFrame, known: DataFrame, labels: DataFrame, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``THRESHOLD`` or more.
+
+    The model learns from ``known`` documents: an earlier filter may have taken
+    all examples of one label out of ``docs``.
+    """
+    model = train(sample(known, labels, rows, doc_id, text, label))
 
     def work(batches):
         scores = _scorer(model)
