@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP = 1_200_000
+KEEP = 400_000
 
 # A text is taken whole if white space stands at an end or in runs, or is not a plain space or line break.
 _ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_SLICE = 16 << 20
+_SLICE = 4 << 20
 
 
 def _library(path: str):

@@ -40,7 +40,7 @@ ROWS = 3000
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 SEED = 7
-_KEEP = 500_000
+_KEEP = 300_000
 _AGAIN = b"\0again"
 
 
