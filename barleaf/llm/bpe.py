@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from barleaf.llm.encoders import KEEP, Encoder
 
+WORDS = 800_000  # pieces a worker remembers, about 200 bytes each
 _LAST = 0xE000  # a word's last symbol is another symbol where the vocabulary marks word ends
 
 
@@ -105,7 +106,7 @@ class PrefixBpe(Encoder):
                     before, b = self.rank[b] + 1, self.left[b]
                 else:
                     break
-            if len(self.fits) > self.keep:
+            if len(self.fits) > self.keep // 4:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -189,7 +190,7 @@ _loaded: dict[str, PrefixBpe] = {}
 def prefix_bpe(path: str) -> PrefixBpe:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
     if path not in _loaded:
-        _loaded[path] = PrefixBpe(path)
+        _loaded[path] = PrefixBpe(path, WORDS)
     return _loaded[path]
 
 

@@ -10,6 +10,7 @@ Ids are kept as little-endian 16-bit numbers; both vocabularies fit.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -22,6 +23,8 @@ KEEP = 400_000
 # A text is taken whole if white space stands at an end or in runs, or is not a plain space or line break.
 _ODD = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SLICE = 4 << 20
+# Marks after a word are a run of their own; an apostrophe may open a contraction and is not among them.
+_MARKS = ".,;:!?#*$%&|)"
 
 
 def _library(path: str):
@@ -38,7 +41,7 @@ def crc(payload: bytes) -> int:
 
 def _letters(word: str) -> bool:
     """Latin letters only, which stay letters under the normaliser."""
-    return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and word.lower().isalpha())
 
 
 def _stand(piece: str) -> str:
@@ -65,30 +68,47 @@ class Encoder:
         self.spaced = not self.closes.any()
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.marks = {m: self.whole([m])[0] for m in ".,"}
+        # ASCII letters need no normaliser: lowered, they are split by white space alone.
+        spec = json.loads(self.library.to_str())
+        self.bare = None
+        if "Lowercase" in json.dumps(spec["normalizer"]) and not self.spaced:
+            self.bare = type(self.library).from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.marks: dict[str, bytes] = {}
+
+    def _ids_of(self, library, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._ids_of(self.library, texts)
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of letters, many to a call, split where a word closes or opens."""
         out = {}
-        for at in range(0, len(words), 128):
-            some = words[at : at + 128]
-            ids = np.frombuffer(self.whole([(" " if self.spaced else "") + " ".join(some)])[0], "<u2")
-            cuts = np.flatnonzero(self.opens[ids]) if self.spaced else np.flatnonzero(self.closes[ids]) + 1
-            cuts = cuts[1:] if self.spaced else cuts[:-1]
-            if len(cuts) == len(some) - 1:
-                out.update(zip(some, (x.tobytes() for x in np.split(ids, cuts))))
+        plain = [w for w in words if w.isascii()] if self.bare else []
+        for library, some in ((self.bare, plain), (self.library, [w for w in words if not (self.bare and w.isascii())])):
+            for at in range(0, len(some), 128):
+                part = some[at : at + 128]
+                text = " ".join(part)
+                payload = self._ids_of(library, [text.lower() if library is self.bare else " " + text if self.spaced else text])[0]
+                ids = np.frombuffer(payload, "<u2")
+                ends = [*(2 * (np.flatnonzero(self.opens[ids])[1:] if self.spaced else np.flatnonzero(self.closes[ids])[:-1] + 1)).tolist(), len(payload)]
+                if len(ends) == len(part):
+                    out.update(zip(part, [payload[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of new pieces; a piece stands after a space unless it opens a line."""
-        marked = {p for p in pieces if p[-1] in self.marks and _letters(p[:-1])}
-        bases = {p[:-1] for p in marked}
+        marked = {p: base for p in pieces if (base := p.rstrip(_MARKS)) != p and base and _letters(base)}
+        bases = set(marked.values())
         known = {p: ids for p in bases if (ids := self.seen.get(p) or self.older.get(p))}
         known |= self._words([p for p in (pieces | bases) - known.keys() if _letters(p)])
-        out = {p: known[p[:-1]] + self.marks[p[-1]] for p in marked if p[:-1] in known}
+        if tails := {p[len(base) :] for p, base in marked.items()} - self.marks.keys():
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+                tails = {p[len(base) :] for p, base in marked.items()}
+            tails = list(tails)
+            self.marks.update(zip(tails, self.whole(tails)))
+        out = {p: known[base] + self.marks[p[len(base) :]] for p, base in marked.items() if base in known}
         out |= {p: known[p] for p in pieces & known.keys()}
         rest = list(pieces - out.keys())
         out.update(zip(rest, self.whole([_stand(p) if self.spaced else p for p in rest])))
@@ -145,8 +165,8 @@ class Encoder:
 _loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int = KEEP) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, keep)
     return _loaded[path]

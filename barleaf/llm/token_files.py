@@ -44,6 +44,7 @@ BUCKET = 512
 GAMMA = 1.5
 LEVELS = 40
 _READ = 8 << 20
+KEEP = 1_000_000  # pieces a worker remembers, about 200 bytes each
 
 
 # ---- writing -------------------------------------------------------------
@@ -57,7 +58,7 @@ def encoded(docs: DataFrame, path: str, bounds: list[int], doc_id: str = "doc_id
     borders = np.array(bounds, np.int64)
 
     def work(batches):
-        tokens = encoder(path)
+        tokens = encoder(path, KEEP)
         for batch in batches:
             ids = tokens.encode(batch.column(1))
             keys = batch.column(0).cast(pa.int64())
