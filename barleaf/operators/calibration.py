@@ -82,7 +82,8 @@ def combinatorial_dates(df: DataFrame, horizon_days: int, n_groups: int = 6, n_t
 def calendar_windows(df: DataFrame, train_years: int = 4, test_years: int = 1, step_years: int = 1) -> DataFrame:
     """Calendar walk-forward table: train 4 years, test 1, moving by 1."""
     span = df.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
-    k = df.sparkSession.range(0, 200).withColumnRenamed("id", "fold").withColumn("_lo", span["lo"]).withColumn("_hi", span["hi"])
+    folds = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.months_between("_hi", "_lo") / (12 * step_years))).cast("int")))
+    k = df.sparkSession.range(1).withColumn("_lo", span["lo"]).withColumn("_hi", span["hi"]).where("_lo is not null").withColumn("fold", folds).withColumn("fold", F.col("fold").cast("long"))
     starts = k.withColumn("train_start", F.add_months("_lo", F.col("fold").cast("int") * 12 * step_years))
     w = starts.withColumn("train_end", F.add_months("train_start", 12 * train_years)).withColumn("test_end", F.add_months("train_end", 12 * test_years))
     return w.filter(F.col("test_end") <= F.col("_hi")).select("fold", "train_start", "train_end", F.col("train_end").alias("test_start"), "test_end")
@@ -268,9 +269,17 @@ def prediction_id(source: Column) -> Column:
 
 
 def record(existing: DataFrame | None, records: DataFrame, source: str) -> DataFrame:
-    """New predictions with their ids; ones already on file are left out."""
-    rows = records.withColumn("source", F.lit(source)).withColumn("id", prediction_id(F.lit(source))).dropDuplicates(["id"])
-    return rows.join(existing.select("id"), "id", "left_anti") if existing is not None else rows
+    """New predictions; ones on file are left out.
+
+    A prediction is told by ticker, as-of date, horizon and source; the short id
+    is a label.
+    """
+    rows = records.withColumn("source", F.lit(source)).withColumn("id", prediction_id(F.lit(source))).withColumn("_t", F.upper("ticker"))
+    key = ["_t", "as_of", "horizon_days", "source"]
+    rows = rows.dropDuplicates(key)
+    if existing is not None:
+        rows = rows.join(existing.select(F.upper("ticker").alias("_t"), *key[1:]), key, "left_anti")
+    return rows.drop("_t")
 
 
 def resolve(predictions: DataFrame, prices: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -161,7 +161,7 @@ def macro_wide(series: DataFrame, names: dict[str, str]) -> DataFrame:
     The pivot list is fixed, so this is one aggregation by date; the carry runs
     over one row per date.
     """
-    wide = series.groupBy("date").pivot("series_id", list(names)).agg(F.first("value"))
+    wide = series.groupBy("date").pivot("series_id", list(names)).agg(F.max("value"))
     wide = wide.select("date", *[F.col(k).alias(v) for k, v in names.items()])
     return wide.select("date", *[carry(v, by=(), order=("date",)).alias(v) for v in names.values()])
 

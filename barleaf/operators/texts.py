@@ -13,8 +13,9 @@ from barleaf.session import cut
 FRONT = 64
 
 
-def content_key(text: Column, length: int = 16) -> Column:
-    return F.substring(F.sha1(F.coalesce(text, F.lit(""))), 1, length)
+def content_key(text: Column) -> Column:
+    """The whole sha2-256 of a text: a cut hash would give one text another's score."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 # -- near duplicates ----------------------------------------------------------
@@ -77,7 +78,8 @@ def settle(undecided: DataFrame, edges: DataFrame, waiting: DataFrame) -> tuple[
     """Decide by rounds: an article none of whose earlier neighbours is open is
     kept, and the later neighbours of a kept one go.  ``waiting`` articles have
     neighbours not yet compared: they may go but not be kept."""
-    open_, kept, gone = undecided, None, None
+    none = undecided.filter(F.lit(False))
+    open_, kept, gone = undecided, none, none
     while True:
         blocked = edges.join(open_.select("ticker", F.col("id").alias("a")), ["ticker", "a"], "left_semi").select("ticker", F.col("b").alias("id"))
         sure = cut(open_.join(blocked, ["ticker", "id"], "left_anti").join(waiting, ["ticker", "id"], "left_anti"))
@@ -85,8 +87,7 @@ def settle(undecided: DataFrame, edges: DataFrame, waiting: DataFrame) -> tuple[
             return kept, gone, open_
         out = edges.join(sure.select("ticker", F.col("id").alias("a")), ["ticker", "a"], "left_semi").select("ticker", F.col("b").alias("id")).distinct()
         out = cut(out.join(open_, ["ticker", "id"], "left_semi"))
-        kept = sure if kept is None else kept.unionByName(sure)
-        gone = out if gone is None else gone.unionByName(out)
+        kept, gone = kept.unionByName(sure), gone.unionByName(out)
         open_ = cut(open_.join(sure, ["ticker", "id"], "left_anti").join(out, ["ticker", "id"], "left_anti"))
 
 

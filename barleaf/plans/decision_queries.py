@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barleaf.operators import calibration as C
@@ -239,7 +241,7 @@ def both_sharpes(first: str, second: str) -> str:
 
 def suffixed(sql: str, tag: str) -> str:
     for name in ("rets", "days", "names", "g0", "g1", "g2", "g3", "g4", "g5", "daily", "curve", "dd", "sharpe"):
-        sql = __import__("re").sub(rf"\b{name}\b", f"{name}{tag}", sql)
+        sql = re.sub(rf"\b{name}\b", f"{name}{tag}", sql)
     return sql
 
 

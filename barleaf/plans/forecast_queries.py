@@ -43,7 +43,7 @@ add_query(
 add_query(
     "split_calendar_windows", "fold:i train_start:d train_end:d test_end:d", lambda s, d: C.calendar_windows(features(s, d), 3, 1, 1), PRICE,
     "b as (select min(date) as lo, max(date) as hi from feat)",
-    "out as (select k as fold, cast(lo + to_years(cast(k as int)) as date) as train_start, cast(lo + to_years(cast(k + 3 as int)) as date) as train_end, cast(lo + to_years(cast(k + 4 as int)) as date) as test_end from b, range(0, 200) r(k) where cast(lo + to_years(cast(k + 4 as int)) as date) <= hi)",
+    "out as (select k as fold, cast(lo + to_years(cast(k as int)) as date) as train_start, cast(lo + to_years(cast(k + 3 as int)) as date) as train_end, cast(lo + to_years(cast(k + 4 as int)) as date) as test_end from b, range(0, 10000) r(k) where cast(lo + to_years(cast(k + 4 as int)) as date) <= hi)",
 )
 
 # -- metrics of three single-feature models -----------------------------------

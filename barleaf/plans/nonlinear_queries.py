@@ -1,4 +1,4 @@
-"""Strided estimator queries, eigenvalue features and risk parity."""
+"""Strided estimator queries and eigenvalue features."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from barleaf.operators import nonlinear as N
 from barleaf.operators.evaluate import returns_of
 from barleaf.plans.basesql import BARS
 from barleaf.plans.registry import add_query
-from barleaf.plans.rule_queries import weights_of
 from barleaf.session import staged
 from barleaf.sources import tables as T
 
@@ -87,46 +86,17 @@ estimator(
     "m as (select a.ticker, a.date, b.i - a.i as lag, any_value(a.n) as n, avg(pow(b.v - a.v, 2)) as m from lv a join lv b on a.ticker = b.ticker and a.date = b.date and b.i - a.i between 1 and least(20, a.n // 4) group by 1, 2, 3)",
     "out as (select a.ticker, a.date, any_value(v) as value from (select distinct ticker, date from win) a left join (select ticker, date, case when any_value(n) >= 30 and count(*) >= 4 then regr_slope(ln(m), ln(lag)) / 2 end as v from m where m > 0 group by 1, 2) m using (ticker, date) group by 1, 2)",
 )
-estimator(
-    "higuchi_fd_120", 7, "ks as (select unnest(range(1, 11)) as k)",
-    "st as (select w.ticker, w.date, k, w.i % k as m, any_value(w.n) as n, sum(abs(w.v - p.v)) as moved, count(*) as c from win w join ks on true join win p on p.ticker = w.ticker and p.date = w.date and p.i = w.i - k group by 1, 2, 3, 4)",
-    "lk as (select ticker, date, k, avg(moved * (n - 1) / (c * k) / k) as len from st group by 1, 2, 3)", "out as (select ticker, date, regr_slope(ln(len), -ln(k)) as value from lk group by 1, 2)",
-)
-_PSD = [
-    "cw as (select *, v - avg(v) over (partition by ticker, date) as u from win)",
-    "ps as (select ticker, date, f, any_value(n) as n, pow(sum(u * cos(2 * pi() * f * i / n)), 2) + pow(sum(u * sin(2 * pi() * f * i / n)), 2) as p from cw, (select unnest(range(1, 61)) as f) where f <= n // 2 group by 1, 2, 3)",
-]
-estimator("spectral_entropy_60", 7, *_PSD, "sh as (select *, p / sum(p) over (partition by ticker, date) as q, count(*) over (partition by ticker, date) as m from ps)",
-          "out as (select ticker, date, -sum(q * ln(q + 1e-12)) / ln(any_value(m)) as value from sh group by 1, 2)")
-estimator("dominant_period_120", 7, *_PSD, "out as (select ticker, date, any_value(n) / arg_max(f, p) as value from ps group by 1, 2)")
 estimator("hist_entropy_60", 8, "b as (select *, min(v) over (partition by ticker, date) as lo, max(v) over (partition by ticker, date) as hi from win)",
           "k as (select ticker, date, least(floor((v - lo) / (hi - lo) * 16), 15) as bin, count(*) as m from b group by 1, 2, 3)", "p as (select *, m / sum(m) over (partition by ticker, date) as p from k)",
           "out as (select ticker, date, -sum(p * ln(p)) / ln(16) as value from p group by 1, 2)")
 estimator("ar1_60", 7, f"c as (select ticker, date, v, lead(v) over ({P}) as b from win)", "out as (select ticker, date, corr(v, b) as value from c where b is not null group by 1, 2)")
-estimator(
-    "sample_entropy_60", 8, f"e as (select *, lead(v) over ({P}) as v1, lead(v, 2) over ({P}) as v2 from win)", "t as (select ticker, date, stddev_pop(v) * cast(0.2 as double) as r from win group by 1, 2)",
-    """m as (select a.ticker, a.date, count(*) filter (abs(a.v - b.v) <= r and abs(a.v1 - b.v1) <= r) as bb, count(*) filter (abs(a.v - b.v) <= r and abs(a.v1 - b.v1) <= r and abs(a.v2 - b.v2) <= r) as aa
-        from e a join e b on a.ticker = b.ticker and a.date = b.date and a.i < b.i join t on t.ticker = a.ticker and t.date = a.date group by 1, 2)""",
-    "out as (select ticker, date, case when aa > 0 and bb > 0 then -ln(aa / bb) end as value from m)",
-)
-_SEG = """
-sz as (select ticker, date, any_value(n) as n, case when floor(any_value(n) / 5.5) < 10 then any_value(n) // 4 else cast(floor(any_value(n) / 5.5) as int) end as w from win group by 1, 2),
-sg as (select sz.*, unnest(range(0, n - w + 1, greatest(1, w // 2))) as st from sz),
-pc as (select sg.ticker, sg.date, st, x.i, x.v, lead(x.v) over (partition by sg.ticker, sg.date, st order by x.i) as b from sg join win x on x.ticker = sg.ticker and x.date = sg.date and x.i between st and st + w - 1),
-ms as (select ticker, date, st, corr(v, b) as ar, var_pop(v) as va from pc group by 1, 2, 3),
-tau as (select a.ticker, a.date, avg(sign(b.ar - a.ar)) as ta, avg(sign(b.va - a.va)) as tv from ms a join ms b on a.ticker = b.ticker and a.date = b.date and a.st < b.st group by 1, 2)"""
-estimator("ews_composite_120", 8, _SEG, "out as (select ticker, date, (ta + tv) / 2 as value from tau)")
-for _name in ("hurst_dfa_120", "hurst_rs_120", "lyapunov_60", "rqa_determinism_60", "rqa_laminarity_60", "chaos01_120", "lppls_conf_250"):
-    estimator(_name, 6)
-
 
 def fast(s, d):
-    return staged(s, f"nonlinear:{d}", lambda: N.nonlinear_features(T.panel(s, d).select("ticker", "date", "adj_close"), deep=True))
+    return staged(s, f"nonlinear:{d}", lambda: N.nonlinear_features(T.panel(s, d).select("ticker", "date", "adj_close")))
 
 
 add_query("nonlinear_features_all", "date:d ticker " + " ".join(f"{e.name}:6" for e in N.REGISTRY), fast)
 add_query("nonlinear_fingerprint", "ticker metric value:6 reading warning", lambda s, d: N.fingerprint(fast(s, d)))
-add_query("nonlinear_synthesis", "ticker memory tail watch", lambda s, d: N.synthesis(N.fingerprint(fast(s, d))))
 
 
 def dense(s, d):
@@ -150,14 +120,6 @@ add_query("bars_dense", "date:d ticker adj_close", dense, BARS, DENSE, relation=
 add_query("nonlinear_eigen_features", "date:d ticker rmt_systematic_frac:6 rmt_market_beta:6", lambda s, d: N.eigen_features(dense(s, d)))
 
 
-def selected(s, d):
-    """The names the rotation rule holds at each month's first date."""
-    w = weights_of("momentum_rotation")(s, d).filter("weight > 0")
-    first = w.groupBy(F.trunc("date", "month").alias("m")).agg(F.min("date").alias("date")).select("date")
-    return w.join(first, "date", "left_semi")
-
-
-add_query("size_risk_parity", "date:d ticker weight:6", lambda s, d: N.risk_parity(selected(s, d), dense(s, d)))
 add_query("select_returns", "date:d ticker ret:6", lambda s, d: returns_of(T.panel(s, d)), BARS,
           "r as (select date, ticker, adj_close / lag(adj_close) over (partition by ticker order by date) - 1 as ret from panel)", "out as (select * from r where ret is not null)")
 add_query("select_newest_names", "ticker date:d", lambda s, d: D.latest_per_ticker(T.panel(s, d), []), BARS, "out as (select ticker, max(date) as date from panel group by 1)")

@@ -196,7 +196,7 @@ add_query(
     """out as (select sha256('doc/' || doc_id || '|' || split_part(text, chr(10), 1)) as event_id, case when doc_id % 2 = 0 then 'finnhub' else 'wire' end as source,
         'doc/' || doc_id as source_url, strftime(case when doc_id % 7 = 0 then timestamp '2030-01-01' else timestamp '2020-01-01' + to_hours(cast(doc_id as int)) end, '%Y-%m-%d %H:%M:%S') as published_at,
         case when doc_id % 11 <> 0 then upper(source) else 'UNKNOWN' end as tickers, 0.0 as sentiment, case when doc_id % 2 = 0 then 0.6 else 0.45 end as confidence,
-        substring(split_part(text, chr(10), 1), 1, 500) as summary, length(substring(text, 1, 8000)) as n from documents)""",
+        split_part(text, chr(10), 1) as summary, length(text) as n from documents)""",
 )
 add_query(
     "news_first_source", "ticker source event_id:i",
@@ -257,8 +257,8 @@ add_query(
     f"raw as (select page_id, {strip_sql('html')} as h from pages)",
     "blk as (select page_id, h, unnest(regexp_extract_all(h, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)) as b from raw)",
     "prt as (select page_id, h, regexp_split_to_array(b, '(?i)<p(?:\\s[^>]*)?>')[2:] as ps from blk)",
-    f"txt as (select page_id, h, array_to_string(list_filter(list_transform(ps, lambda p: {plain_sql(chr(114) + 'egexp_replace(p, ' + chr(39) + '(?is)</p' + chr(92) + 's*>.*' + chr(39) + ', ' + chr(39) + chr(39) + ')')}), lambda t: length(t) >= 40), ' ') as t from prt)",
-    f"out as (select page_id, {plain_sql(chr(114) + 'egexp_extract(h, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title' + chr(39) + ', 1)')} as title, md5(t) as body_md5, length(t) as n_chars from txt)",
+    f"txt as (select page_id, h, array_to_string(list_filter(list_transform(ps, lambda p: {plain_sql("regexp_replace(p, '(?is)</p\\s*>.*', '')")}), lambda t: length(t) >= 40), ' ') as t from prt)",
+    f"out as (select page_id, {plain_sql("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1)")} as title, md5(t) as body_md5, length(t) as n_chars from txt)",
 )
 
 

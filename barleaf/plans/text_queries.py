@@ -122,7 +122,7 @@ add_query(
     "c as (select ticker, id, list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)) as relevance from v, p)",
     "out as (select * from (select *, row_number() over (partition by ticker order by relevance desc, id) as rank from c) where rank <= 5)",
 )
-add_query("words_content_key", "doc_id:i key", lambda s, d: docs(s, d).select("doc_id", M.content_key(F.col("text"), 12).alias("key")), "out as (select doc_id, substring(sha1(text), 1, 12) as key from documents)")
+add_query("words_content_key", "doc_id:i key", lambda s, d: docs(s, d).select("doc_id", M.content_key(F.col("text")).alias("key")), "out as (select doc_id, sha256(text) as key from documents)")
 
 
 def cached(s, d):
@@ -134,7 +134,7 @@ def cached(s, d):
 
 add_query(
     "words_score_cache", "key score:9", cached,
-    f"h as (select distinct substring(sha1(text), 1, 16) as key, len(list_filter(w, lambda t: list_contains({lists(_UP)}, t))) as p, len(list_filter(w, lambda t: list_contains({lists(_DOWN)}, t))) as n from (select text, regexp_extract_all(lower(text), '[a-z'']+') as w from documents))",
-    "en as (select distinct substring(sha1(text), 1, 16) as key from documents where lang = 'en')",
+    f"h as (select distinct sha256(text) as key, len(list_filter(w, lambda t: list_contains({lists(_UP)}, t))) as p, len(list_filter(w, lambda t: list_contains({lists(_DOWN)}, t))) as n from (select text, regexp_extract_all(lower(text), '[a-z'']+') as w from documents))",
+    "en as (select distinct sha256(text) as key from documents where lang = 'en')",
     "out as (select key, 9.0 as score from en union all select key, case when p + n > 0 then (p - n) / (p + n) else 0 end from h where key not in (select key from en))",
 )

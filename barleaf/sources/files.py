@@ -178,9 +178,9 @@ def article_events(articles: DataFrame, now: Column, sentiment=None) -> DataFram
     """
     from barleaf.functions.text import lexicon_sentiment
 
-    title = F.substring(F.coalesce("title", F.lit("")), 1, 500)
-    content = F.substring(F.coalesce("content", F.lit("")), 1, 8000)
-    tone = (sentiment or lexicon_sentiment)(F.concat_ws(" ", title, F.substring(content, 1, 500)))
+    title = F.coalesce("title", F.lit(""))
+    content = F.coalesce("content", F.lit(""))
+    tone = (sentiment or lexicon_sentiment)(F.concat_ws(" ", title, content))
     trust = F.coalesce(*[F.when(F.col("backend") == k, v) for k, v in CONFIDENCE.items()], F.lit(0.45))
     return articles.select(
         F.sha2(F.concat_ws("|", "source_url", "title"), 256).alias("event_id"),

@@ -21,7 +21,7 @@ HEADLINE = [
     "events_filings", "attention_tone", "macro_on_panel", "rule_momentum_rotation", "rule_macd_crossover",
     "rule_multi_factor_5", "rule_turtle_donchian", "rule_cross_sectional_rankz", "evaluate_momentum_rotation", "evaluate_attribution",
     "size_cap_redistribute", "metric_pooled_ic", "metric_drift", "ledger_resolve", "band_quantiles", "rules_compliance",
-    "nonlinear_perm_entropy_60", "nonlinear_sample_entropy_60", "words_near_copies_dropped", "search_tfidf", "search_embedding", "model_walk_forward",
+    "nonlinear_perm_entropy_60", "nonlinear_rough_vol_h_120", "words_near_copies_dropped", "search_tfidf", "search_embedding", "model_walk_forward",
 ]
 
 

@@ -241,42 +241,45 @@ def test_linear_fit_from_sums_equals_least_squares(spark):
     np.testing.assert_allclose([got.intercept, *got.beta], want, rtol=1e-8)
 
 
+def test_near_copies_of_nothing(spark):
+    empty = spark.createDataFrame([], "ticker string, id long, text string")
+    assert texts.drop_near_copies(empty).count() == 0
+    marks = spark.createDataFrame([("A", 1, "..."), ("A", 2, "the of")], "ticker string, id long, text string")
+    assert texts.drop_near_copies(marks).count() == 2
+
+
+def test_predictions_are_told_by_their_own_key(spark):
+    rows = spark.createDataFrame([("a", "2020-01-01", 5), ("A", "2020-01-01", 5), ("A", "2020-01-01", 21)], "ticker string, as_of string, horizon_days int")
+    first = C.record(None, rows, "x")
+    assert first.count() == 2 and C.record(first, rows, "x").count() == 0 and C.record(first, rows, "y").count() == 2
+
+
 # -- estimators ---------------------------------------------------------------
 
 
-def test_estimators_on_signals_with_known_answers():
+def test_estimators_on_signals_with_known_answers(spark):
     rng = np.random.default_rng(0)
-    noise, t = rng.normal(size=500), np.arange(500)
+    noise = rng.normal(size=500)
     ar = np.zeros(500)
     for i in range(1, 500):
         ar[i] = 0.6 * ar[i - 1] + noise[i]
-    x = [0.3]
-    for _ in range(499):
-        x.append(4 * x[-1] * (1 - x[-1]))
-    logistic, sine = np.array(x), np.sin(2 * np.pi * t / 20)
-    assert 0.35 < E.fluctuation_slope(noise) < 0.65 and E.fluctuation_slope(np.cumsum(noise)) > 0.9
-    assert 0.35 < E.rescaled_range_slope(noise) < 0.75
-    assert E.higuchi_dimension(np.cumsum(noise)) < E.higuchi_dimension(noise)
-    assert E.dominant_period(sine) == pytest.approx(20)
-    assert E.spectral_entropy(sine) < 0.3 < E.spectral_entropy(noise)
-    assert E.sample_entropy(sine) < E.sample_entropy(noise)
-    assert E.divergence_rate(logistic) > E.divergence_rate(sine)
-    assert E.recurrence(sine)[0] > E.recurrence(noise)[0]
-    assert E.zero_one_chaos(noise) > E.zero_one_chaos(sine)
-    assert E.lag_one(ar) > 0.45 and abs(E.lag_one(noise)) < 0.15
-    assert E.wavelet_high_share(noise) > E.wavelet_high_share(np.cumsum(noise))
-    assert E.hill_tail(rng.standard_t(3, 2000)) < E.hill_tail(rng.normal(size=2000))
-    left = 520 - t
-    assert E.bubble_confidence(5 - 0.4 * left**0.4 * (1 + 0.1 * np.cos(9 * np.log(left)))) > 0.5
-    assert abs(E.bubble_confidence(0.01 * t + rng.normal(0, 0.01, 500))) < 0.3
+    signals = {"noise": noise, "ar": ar, "walk": np.cumsum(noise), "heavy": rng.standard_t(3, 2000), "light": rng.normal(size=2000), "flat": np.zeros(60), "short": noise[:2]}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in signals.items()], "name string, x array<double>")
+    got = {r["name"]: r for r in df.select("name", E.lag_one(F.col("x")).alias("ar1"), E.wavelet_high_share(F.col("x")).alias("hf"), E.hill_tail(F.col("x")).alias("tail"), E.histogram_entropy(F.col("x")).alias("bins")).collect()}
+    assert got["ar"].ar1 == pytest.approx(np.corrcoef(ar[:-1], ar[1:])[0, 1], rel=1e-9) and abs(got["noise"].ar1) < 0.15
+    assert got["noise"].hf > got["walk"].hf and got["heavy"].tail < got["light"].tail
+    assert 0 < got["noise"].bins < 1
+    assert all(got["flat"][c] is None for c in ("ar1", "hf", "tail", "bins")) and all(got["short"][c] is None for c in ("ar1", "hf", "tail", "bins"))
 
 
 def test_strided_value_is_the_trailing_value(bars):
     got = N.nonlinear_features(bars.select("ticker", "date", "adj_close")).filter("ticker = 'T02'").orderBy("date").toPandas()
     px = bars.filter("ticker = 'T02'").orderBy("date").toPandas()["adj_close"].to_numpy()
-    want = E.fluctuation_slope(np.diff(np.log(px))[-120:])
-    assert got["hurst_dfa_120"].iloc[-1] == pytest.approx(want, rel=1e-9)
-    assert got["hurst_dfa_120"].iloc[:119].isna().all()
+    sizes = np.sort(np.abs(np.diff(np.log(px))[-250:]))[::-1]
+    sizes = sizes[sizes > 0]
+    k = max(5, int(len(sizes) * 0.1))
+    assert got["hill_tail_alpha_250"].iloc[-1] == pytest.approx(k / np.log(sizes[:k] / sizes[k]).sum(), rel=1e-9)
+    assert got["hill_tail_alpha_250"].iloc[:249].isna().all()
 
 
 def test_common_factor_shows_in_the_eigenvalues(spark):
@@ -301,13 +304,6 @@ def test_wide_and_tall_eigen_solutions_agree():
     np.testing.assert_allclose(np.abs(N.market_mode(z)[1]), np.abs(lead * np.sqrt(vals[-1])), rtol=1e-8)
 
 
-def test_parity_weights():
-    rng = np.random.default_rng(0)
-    r = rng.normal(size=(300, 6)) * [1, 1, 2, 2, 4, 4]
-    w = N.parity_weights(r)
-    assert w.sum() == pytest.approx(1) and (w > 0).all() and w[:2].sum() > w[4:].sum()
-
-
 # -- sources ------------------------------------------------------------------
 
 
