@@ -4,7 +4,8 @@ A plain window sorts a whole group in one task.  Here each group is cut into
 value ranges first: cut points come from an approximate quantile sketch (a few
 dozen numbers per group), rows of equal value are counted together, and a
 running count over ranges is added to the rank inside each range.  The ranks
-are exact whatever the cut points are; they only balance the work.
+are exact whatever the cut points are; they only balance the work, so their
+number follows the session's shuffle width.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from barleaf.session import cut
 
 RANGES = 32
+SLOT = 4096
 
 
 def distinct_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), extra: dict[str, Column] | None = None) -> DataFrame:
@@ -23,10 +25,15 @@ def distinct_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), extra:
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"), *sums)
 
 
-def running(counts: DataFrame, value: str, columns: list[str], by: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
-    """Exact running totals of ``columns`` in value order within each group."""
+def running(counts: DataFrame, value: str, columns: list[str], by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """Exact running totals of ``columns`` in value order within each group.
+
+    ``ranges`` is the number of tasks a group is spread over, by default the
+    session's shuffle partitions and at least ``RANGES``.
+    """
+    ranges = ranges or max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sketch = counts.groupBy(*by).agg(
-        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts")
+        F.percentile_approx(value, [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges)).alias("_cuts")
     )
     # the same cut points must serve both branches below, so they are written
     sketch = cut(sketch)
@@ -55,11 +62,23 @@ def average_ranks(df: DataFrame, value: str, name: str, by: tuple[str, ...] = ()
 
 def ordinal_ranks(df: DataFrame, value: str, tie: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rank with ties in ``tie`` order: rows below the value, plus the place
-    among its equals; only equal values share a window."""
+    among its equals.
+
+    Equal values are cut into slots that keep the tie order (the first four
+    characters of a text, blocks of 4,096 of a number), so a value held by half
+    the rows is ranked by many tasks: rows in earlier slots plus the place inside.
+    """
     counts = running(distinct_counts(df, value, by), value, ["_n"], by)
     below = counts.select(*by, value, (F.col("upto__n") - F.col("_n")).alias("_below"))
-    equals = Window.partitionBy(*by, value).orderBy(tie)
-    return df.join(below, [*by, value]).withColumn(name, F.col("_below") + F.row_number().over(equals)).drop("_below")
+    text = dict(df.dtypes)[tie] == "string"
+    slot = F.coalesce(F.substring(tie, 1, 4), F.lit("")) if text else F.coalesce(F.floor(F.col(tie) / SLOT).cast("double"), F.lit(float("-inf")))
+    placed = df.withColumn("_slot", slot)
+    sizes = placed.filter(F.col(value).isNotNull()).groupBy(*by, value, "_slot").agg(F.count("*").alias("_c"))
+    earlier = Window.partitionBy(*by, value).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("_c").over(earlier), F.lit(0))
+    starts = sizes.select(*by, value, "_slot", ahead.alias("_ahead")).join(below, [*by, value]).select(*by, value, "_slot", (F.col("_ahead") + F.col("_below")).alias("_start"))
+    equals = Window.partitionBy(*by, value, "_slot").orderBy(tie)
+    return placed.join(starts, [*by, value, "_slot"]).withColumn(name, F.col("_start") + F.row_number().over(equals)).drop("_start", "_slot")
 
 
 def order_statistic(df: DataFrame, value: str, position: Column, by: tuple[str, ...] = ()) -> DataFrame:

@@ -231,13 +231,15 @@ def delay_test(prices: DataFrame, weights: DataFrame) -> DataFrame:
     return both.withColumn("robust", (late > 0) & (base - late < 0.5 * F.abs(base + 1e-6) + 1.0))
 
 
-def shuffle_column(df: DataFrame, column: str, keys: list[str], seed: int = 0, buckets: int = 64) -> DataFrame:
+def shuffle_column(df: DataFrame, column: str, keys: list[str], seed: int = 0, buckets: int | None = None) -> DataFrame:
     """Permute a column over all rows, the same way on any cluster layout.
 
     Rows are numbered twice, by key and by a seeded hash of the key, and joined
     on the number.  Numbers come from hash buckets (a count per bucket plus a
-    rank inside), so no task sorts the whole table.
+    rank inside), so no task sorts the whole table; ``buckets`` follows the
+    session's shuffle width and does not change the permutation.
     """
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = F.xxhash64(*keys, F.lit(seed))
     place = F.xxhash64(*keys, F.lit(f"place-{seed}"))
 
@@ -352,8 +354,11 @@ def horizon_hits(predictions: DataFrame, prices: DataFrame, targets: DataFrame,
     reach the target.
     """
     last = prices.agg(F.max("date")).scalar()
-    days = prices.select("date").distinct()
-    actual = F.broadcast(targets.filter(F.col("target_date") <= last)).join(days, F.col("date") <= F.col("target_date")).groupBy("horizon", "target_date").agg(F.max("date").alias("date"))
+    days = prices.select("date", F.col("date").alias("day")).distinct()
+    asked = targets.filter(F.col("target_date") <= last)
+    marked = days.unionByName(asked.select(F.col("target_date").alias("date")).distinct(), allowMissingColumns=True)
+    carried = marked.select("date", F.max("day").over(Window.orderBy("date")).alias("day")).distinct()
+    actual = asked.join(carried.withColumnRenamed("date", "target_date"), "target_date").select("horizon", "target_date", F.col("day").alias("date")).filter("date is not null")
     marks = actual.join(prices.select("date", "ticker", "adj_close"), "date")
     rows = predictions.filter("entry_price > 0").join(marks, "ticker").withColumn("ret", F.col("adj_close") / F.col("entry_price") - 1)
     rows = rows.withColumn("hit", ((F.col("score") > 0) == (F.col("ret") > 0)).cast("int"))

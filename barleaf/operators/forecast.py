@@ -256,6 +256,14 @@ def walk_forward(rows: DataFrame, folds: DataFrame, features: list[str], target:
     return tests.select("fold", "date", "ticker", target, linear_score(features).alias("score"))
 
 
+def latest_scores(rows: DataFrame, model: DataFrame, features: list[str]) -> DataFrame:
+    """Scores of the newest date's complete rows under a stored one-row model."""
+    newest = rows.agg(F.max("date")).scalar()
+    today = rows.filter(F.col("date") == newest).dropna(subset=features)
+    fitted = today.withColumns({c: model.select(c).scalar() for c in ("intercept", "beta")})
+    return fitted.select("date", "ticker", linear_score(features).alias("score"))
+
+
 def importance(rows: DataFrame, model: DataFrame, features: list[str]) -> DataFrame:
     """Mean absolute contribution per feature, largest first (one-row model)."""
     df = rows.dropna(subset=features).withColumns({c: model.select(c).scalar() for c in ("beta", "mean")})

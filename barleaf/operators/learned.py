@@ -13,9 +13,10 @@ from barleaf.functions.windows import by_ticker
 from barleaf.operators import forecast as FC
 from barleaf.operators import kernels as K
 
-FOREST = "mom_5d mom_20d mom_60d vol_20d rsi_14 sma_gap_50 sma_gap_200 rel_vol_20 dd_from_high_60 excess_ret_1d".split()
-BOOSTED = FOREST[:7] + ["atr_14"] + FOREST[7:]
-ATTRIBUTED = "mom_5d mom_20d mom_60d vol_20d rsi_14 sma_gap_50 rel_vol_20 excess_ret_1d".split()
+# The inputs of the three learned rules.
+FOREST = ["mom_5d", "mom_20d", "mom_60d", "vol_20d", "rsi_14", "sma_gap_50", "sma_gap_200", "rel_vol_20", "dd_from_high_60", "excess_ret_1d"]
+BOOSTED = ["mom_5d", "mom_20d", "mom_60d", "vol_20d", "rsi_14", "sma_gap_50", "sma_gap_200", "atr_14", "rel_vol_20", "dd_from_high_60", "excess_ret_1d"]
+ATTRIBUTED = ["mom_5d", "mom_20d", "mom_60d", "vol_20d", "rsi_14", "sma_gap_50", "rel_vol_20", "excess_ret_1d"]
 
 
 def numbered(f: DataFrame) -> DataFrame:

@@ -241,6 +241,13 @@ def standing_rules(rules: DataFrame, prices: DataFrame, events: DataFrame) -> Da
     event_value.  Rules are the long side; prices join by ticker.
     """
     df = rules.join(prices.select("ticker", "price"), "ticker", "left").join(events.select("event_key", "event_value"), "event_key", "left")
+    status, action = standing_verdict()
+    place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), status)
+    return df.select("ticker", "kind", "price", status.alias("status"), action.alias("action"), place.alias("place"))
+
+
+def standing_verdict() -> tuple[Column, Column]:
+    """Status and action of a row that holds a rule, a price and an event value."""
     c = F.col
     price = c("price")
 
@@ -278,8 +285,7 @@ def standing_rules(rules: DataFrame, prices: DataFrame, events: DataFrame) -> Da
     blind = price.isNull() & ~holds & (c("kind") != "event_kill_switch")
     status = F.when(holds, "OK").when(blind, "NO_DATA").otherwise(status)
     action = F.when(holds, "HOLD").when(blind, "-").otherwise(action)
-    place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), status)
-    return df.select("ticker", "kind", "price", status.alias("status"), action.alias("action"), place.alias("place"))
+    return status, action
 
 
 # -- dated conditional rules --------------------------------------------------

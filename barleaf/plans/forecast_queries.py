@@ -320,6 +320,14 @@ def walked(s, d):
 add_query("model_walk_forward", "fold:i date:d ticker score:5", walked)
 add_query("model_walk_forward_metrics", "model fold:i ic:5 hit_rate:5 n:i", lambda s, d: C.fold_metrics(walked(s, d).withColumn("model", F.lit("ridge")), "forward_return_20d", "score"))
 add_query("model_importance", "feature importance:5", lambda s, d: FC.importance(rows(s, d), FC.fit_linear(rows(s, d).withColumn("one", F.lit(1)), INPUTS, "forward_return_20d", ["one"]).drop("one"), INPUTS))
+
+
+def fitted(s, d):
+    """One fit on every labelled row."""
+    return FC.fit_linear(rows(s, d).withColumn("one", F.lit(1)), INPUTS, "forward_return_20d", ["one"]).drop("one")
+
+
+add_query("model_latest_scores", "date:d ticker score:5", lambda s, d: FC.latest_scores(rows(s, d), fitted(s, d), INPUTS))
 add_query("model_stacked", "date:d ticker score:5", lambda s, d: FC.stack_models(predictions(s, d), list(MODELS), "y"))
 _PADDED = "list_concat(list_transform(range(0, 10 - least(rn, 10)), lambda i: f), w)"
 add_query(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barleaf.operators import prices
+from barleaf.operators import catalog, prices
 from barleaf.plans.basesql import PRICE
 from barleaf.plans.registry import add_query
 from barleaf.session import staged
@@ -47,3 +48,26 @@ add_query(
     PRICE,
     "out as (select date, ticker, forward_return_20d - avg(forward_return_20d) over (partition by date) as neutral from feat where forward_return_20d is not null)",
 )
+
+# -- the catalog --------------------------------------------------------------
+
+# Names a trainer may ask for, by family; the price table holds all but the last family.
+CATALOG = {
+    "volatility": ["vol_10d", "vol_20d", "vol_60d", "atr_14", "downside_vol_20d", "downside_vol_60d", "vol_of_vol_60", "ret_skew_60", "ret_kurt_60", "max_dd_252", "dd_from_high_60"],
+    "liquidity": ["rel_vol_20", "avg_dollar_volume_20", "amihud_illiq_20", "volume_z_60", "overnight_gap"],
+    "mean_reversion": ["rsi_14"],
+    "regime": ["bull_regime", "high_vol_regime", "mom_20d_rank", "excess_ret_1d", "beta_60", "corr_bench_60"],
+    "news": ["news_tone", "news_tone_mom", "news_buzz"],
+}
+_HELD = [(g, c) for g, names in CATALOG.items() for c in names if g != "news"]
+add_query(
+    "catalog_resolved", "family feature filled:9", lambda s, d: catalog.resolved(features(s, d), CATALOG), PRICE,
+    "cv as (" + " union all ".join(f"select '{g}' as family, '{c}' as feature, count({c}) / count(*) as filled from feat" for g, c in _HELD) + ")",
+    "out as (select * from cv where filled >= 0.6)",
+)
+add_query(
+    "catalog_report", "family defined:i present:i names n_rows:i",
+    lambda s, d: catalog.report(features(s, d), CATALOG).withColumn("names", F.array_join("columns", ",")).withColumn("n_rows", features(s, d).agg(F.count("*")).scalar()), PRICE,
+    "cf as (select * from (values " + ", ".join(f"('{g}', {len(names)}, {0 if g == 'news' else len(names)}, '{'' if g == 'news' else ','.join(names)}')" for g, names in CATALOG.items()) + ") v(family, defined, present, names))",
+    "out as (select cf.*, (select count(*) from feat) as n_rows from cf)",
+)

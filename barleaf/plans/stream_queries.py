@@ -25,9 +25,11 @@ def stream_ticks(s, d) -> DataFrame:
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what has landed into Parquet and read it back.
 
-    Complete and update results are written by batch, later batches replacing
-    earlier rows of the same key when read.
+    A complete result is written whole by every batch; update mode would keep
+    only the last batch's keys, so it is refused.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"drain takes append or complete, not {mode}")
     spark = df.sparkSession
     out, state = S.fresh_path(spark, name), S.fresh_path(spark, f"{name}-state")
     writer = df.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode(mode)
@@ -57,16 +59,22 @@ add_query("live_bars_stream", _BAR, lambda s, d: drain(L.bars(stream_ticks(s, d)
 def rules(s, d):
     kinds = threshold_rules(s, d)
     t = F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "error")]), F.col("p_partkey").cast("int") % 5 + 1)
-    small = {c: (F.col(c) / 20).alias(c) for c in ("stop_below", "trim_above", "floor", "sell_below", "recovery_lo", "capitulation_below")}
-    return kinds.withColumn("ticker", t).groupBy("ticker", "kind").agg(F.first("event_key").alias("event_key"), *[F.min(v).alias(c) for c, v in small.items()])
+    small = {c: (F.col(c) / 20).alias(c) for c in ("stop_below", "trim_above", "floor", "sell_below", "strength_lo", "strength_hi", "recovery_lo", "capitulation_below")}
+    told = [F.min(c).alias(c) for c in ("event_key", "event_sell_value", "rating", "rating_below")]
+    return kinds.withColumn("ticker", t).groupBy("ticker", "kind").agg(*told, *[F.min(v).alias(c) for c, v in small.items()])
 
 
 add_query(
     "live_threshold_alerts", "ticker kind action n:i", lambda s, d: drain(L.threshold_alerts(stream_ticks(s, d), rules(s, d), event_values(s, d)), "alerts").groupBy("ticker", "kind", "action").agg(F.count("*").alias("n")),
     TICKS,
-    "rl as (select ['click', 'view', 'purchase', 'signup', 'error'][p_partkey % 5 + 1] as ticker, ['stop_and_trim', 'floor', 'probation_band', 'exit_band', 'event_kill_switch', 'rating_review', 'hold', 'probation_floor'][p_size % 8 + 1] as kind, min(p_retailprice) / 20 as p from part group by 1, 2)",
-    """al as (select ticker, kind, case when kind = 'stop_and_trim' and price < p * 2 then 'SELL ALL' when kind = 'stop_and_trim' and price > p * 6 then 'TRIM 1/2' when kind in ('floor', 'probation_floor') and price < p * 2.5 then 'SELL (hard floor)'
-        when kind = 'probation_band' and price < p * 2 then 'SELL' when kind = 'exit_band' and (price >= p * 5 or price < p * 1.5) then 'EXIT' end as action from ticks join rl using (ticker))""",
+    """rl as (select ['click', 'view', 'purchase', 'signup', 'error'][p_partkey % 5 + 1] as ticker, ['stop_and_trim', 'floor', 'probation_band', 'exit_band', 'event_kill_switch', 'rating_review', 'hold', 'probation_floor'][p_size % 8 + 1] as kind,
+        min(p_retailprice) / 20 as p, min(case when p_partkey % 4 <> 0 then ['click', 'view', 'raise'][p_partkey % 3 + 1] end) as event_key, min(case when p_size % 5 <> 0 then p_size % 7 end) as rating from part group by 1, 2)""",
+    "ev as (select event_type as event_key, case when avg(value) > 49 then 'true' else 'false' end as event_value from events group by 1)",
+    """al as (select ticker, kind, case when kind = 'stop_and_trim' and price < p * 2 then 'SELL ALL' when kind = 'stop_and_trim' and price > p * 6 then 'TRIM 1/2'
+        when kind in ('floor', 'probation_floor') and price < p * 2.5 then 'SELL (hard floor)' when kind in ('floor', 'probation_floor') and event_value = 'true' then 'SELL (event)'
+        when kind = 'probation_band' and price < p * 2 then 'SELL' when kind = 'probation_band' and price between p * 3 and p * 3.5 then 'SELL into strength' when kind = 'probation_band' and event_value = 'true' then 'SELL (event)'
+        when kind = 'exit_band' and price >= p * 5 then 'SELL (recovery exit)' when kind = 'exit_band' and price < p * 1.5 then 'SELL (capitulation exit)'
+        when kind = 'event_kill_switch' and event_value = 'true' then 'SELL SAME DAY' when kind = 'rating_review' and rating < 2 then 'REVIEW position' end as action from ticks join rl using (ticker) left join ev using (event_key))""",
     "out as (select ticker, kind, action, count(*) as n from al where action is not null group by 1, 2, 3)",
 )
 

@@ -44,19 +44,11 @@ def moving_average(ticks: DataFrame, length: str = "20 minutes", slide: str = "5
 
 
 def threshold_alerts(ticks: DataFrame, rules: DataFrame, events: DataFrame) -> DataFrame:
-    """Stream-static join of each tick to its ticker's rules; only hits pass.
-
-    The verdicts are those of the batch rules, applied to the tick's price.
-    """
-    keyed = rules.join(events, "event_key", "left")
-    rows = ticks.join(keyed, "ticker")
-    stop = F.col("kind") == "stop_and_trim"
-    verdict = F.when(stop & (F.col("price") < F.col("stop_below")), "SELL ALL").when(stop & (F.col("price") > F.col("trim_above")), "TRIM 1/2")
-    floor = F.col("kind").isin("floor", "probation_floor") & (F.col("price") < F.col("floor"))
-    verdict = verdict.when(floor, "SELL (hard floor)").when((F.col("kind") == "probation_band") & (F.col("price") < F.col("sell_below")), "SELL")
-    gone = (F.col("kind") == "exit_band") & ((F.col("price") >= F.col("recovery_lo")) | (F.col("price") < F.col("capitulation_below")))
-    verdict = verdict.when(gone, "EXIT")
-    return rows.select("event_id", "ts", "ticker", "kind", "price", verdict.alias("action")).filter("action is not null")
+    """Stream-static join of each tick to its ticker's rules; only what the
+    batch rules call triggered at the tick's price passes."""
+    status, action = tablerules.standing_verdict()
+    rows = ticks.join(rules, "ticker").join(events.select("event_key", "event_value"), "event_key", "left")
+    return rows.filter(status == "TRIGGERED").select("event_id", "ts", "ticker", "kind", "price", action.alias("action"))
 
 
 def alert_sink(path: str):
@@ -77,13 +69,14 @@ def resolving_sink(predictions: DataFrame, prices_path: str, out_path: str):
     """foreachBatch: append the batch's prices, resolve what has matured.
 
     Ids already resolved are left out by an anti-join, so a retried batch or an
-    overlapping one adds nothing twice.
+    overlapping one adds nothing twice.  Of two prices for a day the newest
+    batch's counts, so a corrected price replaces the first.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.select("ticker", "date", "adj_close").write.mode("overwrite").parquet(f"{prices_path}/batch={number}")
-        prices = spark.read.parquet(prices_path).dropDuplicates(["ticker", "date"])
+        prices = spark.read.parquet(prices_path).groupBy("ticker", "date").agg(F.max_by("adj_close", F.struct("batch", "adj_close")).alias("adj_close"))
         done = spark.read.schema("prediction_id string").parquet(f"{out_path}/batch=*") if number else None
         fresh = calibration.resolve(predictions, prices, done)
         fresh.write.mode("overwrite").parquet(f"{out_path}/batch={number}")

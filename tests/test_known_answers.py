@@ -166,6 +166,43 @@ def test_split_ranks_equal_plain_ranks_on_a_hot_group(spark):
     np.testing.assert_array_equal(whole["r"], pdf["v"].rank(method="first"))
 
 
+def test_one_value_in_half_the_rows_is_ranked_in_slots(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"v": np.where(np.arange(3000) % 2, 5.0, rng.integers(0, 9, 3000)), "id": [f"{x:08x}" for x in rng.permutation(3000) * 99991]})
+    want = pdf.sort_values(["v", "id"]).reset_index(drop=True)
+    got = ranking.ordinal_ranks(spark.createDataFrame(pdf), "v", "id", "r").toPandas().sort_values("r")
+    assert got["r"].tolist() == list(range(1, 3001)) and got["id"].tolist() == want["id"].tolist()
+    monkeypatch.setattr(ranking, "SLOT", 7)
+    pdf["id"] = rng.permutation(3000) - 1500
+    got = ranking.ordinal_ranks(spark.createDataFrame(pdf), "v", "id", "r").toPandas().sort_values("r")
+    assert got["id"].tolist() == pdf.sort_values(["v", "id"])["id"].tolist()
+
+
+def test_catalog_keeps_present_and_filled_names(spark):
+    from barleaf.operators import catalog
+
+    df = spark.createDataFrame([(1.0, None, 1.0), (2.0, None, None), (3.0, 1.0, 2.0)], "a double, b double, c double")
+    groups = {"g": ["a", "b"], "h": ["c", "missing"]}
+    assert sorted(r.feature for r in catalog.resolved(df, groups).collect()) == ["a", "c"]
+    assert [r.feature for r in catalog.resolved(df, groups, ["g"]).collect()] == ["a"]
+    seen = {r.family: (r.defined, r.present, r.columns) for r in catalog.report(df, groups).collect()}
+    assert seen == {"g": (2, 2, ["a", "b"]), "h": (2, 1, ["c"])}
+    assert catalog.resolved(df.limit(0), groups).count() == 0
+
+
+def test_a_corrected_price_replaces_the_first(spark, tmp_path):
+    from barleaf.streaming import live
+
+    day = lambda n: START + dt.timedelta(days=n)
+    asked = spark.createDataFrame([("A", day(1), 2, None, 0.0, 110.0, 500.0)], "ticker string, as_of date, horizon_days int, entry_price double, band_lo double, band_median double, band_hi double")
+    write = live.resolving_sink(C.record(None, asked, "test"), str(tmp_path / "prices"), str(tmp_path / "out"))
+    schema = "ticker string, date date, adj_close double"
+    write(spark.createDataFrame([("A", day(i), 100.0) for i in range(3)], schema), 0)
+    write(spark.createDataFrame([("A", day(1), 80.0), ("A", day(3), 120.0)], schema), 1)
+    done = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.terminal_price, r.realized_return) for r in done] == [(120.0, pytest.approx(0.5))]
+
+
 def test_order_statistic(spark):
     df = spark.createDataFrame([(float(i * 37 % 1001),) for i in range(1001)], "v double")
     assert ranking.order_statistic(df, "v", F.ceil(F.col("n") * 0.9)).first()["v"] == 900
