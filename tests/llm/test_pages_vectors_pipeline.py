@@ -27,6 +27,12 @@ def test_article_text():
     assert pages.blocks(None) == [] and pages.blocks("a < b & c") == [(pages.OPEN, "a < b & c")]
 
 
+def test_text_after_a_script_with_odd_quotes_stays():
+    page = "<article><script>for(i=0;i<n;i++){} // don't</script><p>It's the first sentence of the article.</p><style>a<b'</style><p>'Tis more</p></article>"
+    assert [t for _, t in pages.blocks(page)] == ["It's the first sentence of the article.", "'Tis more"]
+    assert pages.blocks("<p>a</p><script>if (a<b) 'never closed") == [(pages.OPEN, "a")]
+
+
 def test_runs_decide_on_pages_without_article(spark):
     boiler = "this site belongs to nobody in particular and has no news at all"
     unique = [" ".join(f"word{i}x{k}" for k in range(14)) for i in range(6)]
