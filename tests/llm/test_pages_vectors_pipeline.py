@@ -45,6 +45,26 @@ def test_runs_decide_on_pages_without_article(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_repeated_runs_inside_articles_go_and_copies_stay(spark):
+    plea = "please support this fine paper with a small gift of your own choice today"
+    own = [" ".join(f"own{i}x{k}" for k in range(60)) for i in range(12)]
+    quote = " ".join(f"quoted{k}" for k in range(12))
+    copied = " ".join(f"copied{k}" for k in range(40))
+
+    def page(i, *texts):
+        return (i, f"http://h.example/{i}", "<nav>Home</nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>")
+
+    n = pages.PAGES
+    rows = [page(i, own[i], plea) for i in range(n)]  # on so many pages a plea goes
+    rows += [page(20 + i, own[6 + i], quote) for i in range(n - 1)]  # on fewer a quoted passage stays
+    rows += [page(40 + i, copied) for i in range(n + 1)]  # an article copied often stays whole
+    rows += [(60, "http://other.example/", f"<article><p>{own[11]}</p><p>{plea}</p></article>")]  # another host's plea
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    want = {i: own[i] for i in range(n)} | {20 + i: f"{own[6 + i]}\n{quote}" for i in range(n - 1)} | {40 + i: copied for i in range(n + 1)} | {60: f"{own[11]}\n{plea}"}
+    assert got == want
+
+
 def slow_search(x, ids, k=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
