@@ -23,7 +23,6 @@ tables give an empty result.
 from __future__ import annotations
 
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,7 @@ WINDOW = 1024
 SHORTEST = 64
 BATCH = 8192
 STEP_TOKENS = 64 * 1024
+SLICE = 2048
 
 
 def tier_of(n: int, window: int = WINDOW, shortest: int = SHORTEST) -> int:
@@ -112,9 +112,14 @@ def step_groups(lengths: list[int], step_tokens: int = STEP_TOKENS) -> list[int]
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shortest: int = SHORTEST, batch: int = BATCH, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row per piece: where it comes from, its sequence and its place there."""
+    """One row per piece: its token ids, where it comes from, its sequence and its place there.
+
+    ``ids`` holds the piece's ids as little-endian 32-bit numbers; a sequence's
+    pieces joined by ``offset`` are the training sequence.  ``ids_crc32`` is
+    derived from ``ids``.
+    """
     end = np.array([end_id], "<u2").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
 
     def work(batches):
         tokens, base = encoder(path), TaskContext.get().partitionId() << 36
@@ -137,13 +142,14 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", te
                 offset = 0
                 for d, at, n in one:
                     doc, ids = made[d]
-                    rows.append((doc, at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), len(ids), sequence, offset, total, group + step))
+                    rows.append((doc, at, n, ids[at : at + n].astype("<u4").tobytes(), len(ids), sequence, offset, total, group + step))
                     offset += n
                 sequence += 1
             group += max(steps, default=-1) + 1
             ready, open_, made, full = [], [], [], 0
             columns = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind)] + [pa.array(c, pa.int64()) for c in columns[1:]], names) if rows else None
+            kinds = [kind, *(pa.binary() if n == "ids" else pa.int64() for n in names[1:])]
+            return [pa.RecordBatch.from_arrays([pa.array(c[at : at + SLICE], k) for c, k in zip(columns, kinds)], names) for at in range(0, len(rows), SLICE)]
 
         for rows in batches:
             kind = rows.schema.field(0).type
@@ -156,10 +162,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_id", te
                     open_.append((len(made) - 1, len(ids) - len(ids) % window))
                 full += len(ids)
                 if len(open_) >= batch or full >= batch * window:
-                    yield flush()
+                    yield from flush()
         if made:
-            yield flush()
+            yield from flush()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    pieces = rows.mapInArrow(work, f"doc_id {kind}, " + ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names[1:]))
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))

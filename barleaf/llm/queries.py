@@ -52,7 +52,8 @@ def host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_hierarchical_packing")
 def hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), BYTE_VOCABULARY, 0)
+    pieces = packing.pack(table(spark, folder, "documents"), BYTE_VOCABULARY, 0)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 @query("op6_secret_forest")

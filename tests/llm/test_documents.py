@@ -209,6 +209,20 @@ def test_packing_is_whole(messy, batch):
     assert packing.pack(messy.where("doc_id = 6"), BYTES).groupBy("doc_tokens").agg(F.sum("length").alias("n")).count() == 2
 
 
+def test_packed_sequences_hold_the_ids(messy):
+    library = Tokenizer.from_file(BYTES)
+    docs = messy.where("doc_id is null or doc_id != 6")
+    want = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        want[(r.doc_id, *library.encode(r.text or "", add_special_tokens=False).ids, 0)] += 1
+    got = {}
+    for p in packing.pack(docs, BYTES).collect():
+        ids = np.frombuffer(bytes(p.ids), "<u4").tolist()
+        assert len(ids) == p.length and p.ids_crc32 == zlib.crc32(bytes(p.ids))
+        got.setdefault((p.doc_id, p.doc_tokens), []).append((p.start, ids))
+    assert Counter((doc, *(i for _, ids in sorted(of) for i in ids)) for (doc, _), of in got.items()) == want
+
+
 def test_packing_cuts_only_where_nothing_fits():
     out = packing.fill([1000, 24, 500, 12, 3])
     assert [(0, 0, 1000), (1, 0, 24)] in out
