@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barleaf.llm import lines, packing, quality, secrets, simhash
+from barleaf.llm import lines, packing, quality, secrets, shingles, simhash
 from barleaf.llm.common import stored, table
 from barleaf.llm.queries import BYTE_VOCABULARY
 
@@ -37,6 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.representatives(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 0.8 or more of their five-word shingles one stays; three bits reach few of them."""
+    return shingles.representatives(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark."""
     return _measured(secrets.redact(docs))
@@ -51,6 +56,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("quality classifier", quality_classifier),
     ("near duplicates", near_duplicates),
+    ("near copies", near_copies),
     ("secret scan", secret_scan),
     ("packing", pack),
 ]

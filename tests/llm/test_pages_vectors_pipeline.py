@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 import numpy as np
 import pytest
@@ -137,5 +139,44 @@ def test_pipeline_stages(spark, given, documents, messy):
     pieces_are_whole(stages["packing"](spark, safe, SF).collect(), ids)
 
 
+def slow_shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_at_four_fifths_go(spark):
+    pick = random.Random(3)
+    made = [[f"w{pick.randrange(5000)}" for _ in range(300)] for _ in range(40)]
+    texts = [" ".join(m) for m in made]
+    for m in made[:20]:
+        for changes in range(1, 8):  # similarity from 0.97 down to 0.79
+            copy = list(m)
+            for at in pick.sample(range(300), changes):
+                copy[at] = "changed" + str(pick.random())
+            texts.append(" ".join(copy))
+    shared = [f"s{i}" for i in range(300)]
+    texts += [" ".join(shared[: 300 - 4 * k] + [f"t{k}x{i}" for i in range(4 * k)]) for k in range(40)]  # one bucket, not all similar
+    texts += ["", "   ", "one", "ONE"]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    sets = [slow_shingles(t) for t in [*texts, None]]
+
+    def near(i, j):
+        return len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+    assert sum(near(i, j) for i in range(40) for j in range(40, 180)) > 100
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["near duplicates"](spark, df, SF).cache()
+    one = stages["near copies"](spark, left, SF).cache()
+    kept, given = ({r.doc_id for r in x.collect()} for x in (one, left))
+    assert one.columns == df.columns and one.count() == len(kept) < len(given)
+    assert not [(i, j) for i in kept for j in kept if i < j and near(i, j)]
+    reached, more = set(kept), True
+    while more:  # what went is linked to what stays
+        more = {i for i in given - reached if any(near(i, j) for j in reached)}
+        reached |= more
+    assert reached == given
+    assert stages["near copies"](spark, df.limit(0), SF).count() == 0
+
+
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
