@@ -7,8 +7,8 @@ closest of these; min-wise hashing reaches all but about 4 in 10,000 at 0.8
 the whole sets.
 
 Buckets.  Documents that agree in a band share a bucket.  In each round up to
-``LEADERS`` members of a bucket meet all the others, so pairs are linear in the
-bucket's rows; linked documents become one, the leaders have met their bucket and
+``LEADERS`` members of a bucket meet all the others, so a round's pairs are linear
+in the bucket's rows (twice as many leaders each round, ``MOST_LEADERS`` at most); linked documents become one, the leaders have met their bucket and
 leave it, and rounds go on until no bucket has two members.  At the end no two
 kept documents of one bucket are unmet, and whatever went is linked to a kept
 document, directly or by a chain of links.
@@ -40,6 +40,7 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 LEADERS = 4
+MOST_LEADERS = 64
 
 _STEP = 2048
 
@@ -103,10 +104,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stored(signed.join(kept, "node", "left_semi").dropDuplicates(["node"]), "sets")
     members = sets.select("node", "n", F.explode("buckets").alias("bucket"))
 
+    leaders = LEADERS
     while True:
-        # Leaders of a bucket: the least member of each of LEADERS shares.
-        share = F.pmod(F.xxhash64("node", "bucket"), F.lit(LEADERS))
-        firsts = [F.min(F.when(share == i, F.struct("node", "n"))) for i in range(LEADERS)]
+        # Leaders of a bucket: the least member of each of the shares.
+        share = F.pmod(F.xxhash64("node", "bucket"), F.lit(leaders))
+        firsts = [F.min(F.when(share == i, F.struct("node", "n"))) for i in range(leaders)]
         heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.array_compact(F.array(*firsts)).alias("heads")).where("size > 1")
         heads = stored(heads.select("bucket", F.explode("heads").alias("head")).select("bucket", F.col("head.node").alias("head"), F.col("head.n").alias("m")), "heads")
         if heads.isEmpty():
@@ -118,5 +120,6 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kept = kept.join(gone, "node", "left_anti")
         rest = members.join(heads.select("bucket"), "bucket", "left_semi").join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
         members = stored(rest.join(gone, "node", "left_anti"), "members")
+        leaders = min(2 * leaders, MOST_LEADERS)
 
     return keyed.join(kept.withColumnRenamed("node", "_key"), "_key", "left_semi").select("_row.*")
