@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barleaf.llm import bpe, lines, packing, pages, partitions, quality, secrets, simhash, token_files, unigram
-from barleaf.llm.common import table
+from barleaf.llm import bpe, lines, packing, pages, partitions, quality, secrets, simhash, token_files, unigram, variants, warc
+from barleaf.llm.common import fresh, stored, table
+from barleaf.llm.sql import SPELLING, WARC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,22 @@ def line_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_learned_partitions")
 def learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return partitions.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op11_gram_variants")
+def gram_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.groups(table(spark, folder, "documents"))
+
+
+ORACLES["op11_gram_variants"] = SPELLING
+
+
+@query("op13_warc_segments")
+def warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    archives = fresh(spark, "warc")
+    warc.write(table(spark, folder, "pages"), archives)
+    found = warc.inventory(stored(warc.read(spark, archives, keep_payload=False).drop("payload", "fields"), "records"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op13_warc_segments"] = WARC
