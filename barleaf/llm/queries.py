@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barleaf.llm import bpe, lines, packing, pages, partitions, quality, secrets, simhash, token_files, unigram, variants, warc
+from barleaf.llm import bpe, collocations, lines, packing, pages, partitions, quality, secrets, simhash, token_files, unigram, variants, warc
 from barleaf.llm.common import fresh, stored, table
-from barleaf.llm.sql import SPELLING, WARC
+from barleaf.llm.sql import COLLOCATIONS, SPELLING, WARC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +92,14 @@ def gram_variants(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_gram_variants"] = SPELLING
 
 
+@query("op12_trie_collocations")
+def trie_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op12_trie_collocations"] = COLLOCATIONS
+
+
 @query("op13_warc_segments")
 def warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     archives = fresh(spark, "warc")

@@ -42,3 +42,29 @@ select page_id, strlen(h)::bigint as payload_bytes,
   case when page_id is distinct from m then m end as refers_to
 from p join w using (h)
 """
+
+COLLOCATIONS = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) as piece
+  from documents),
+listed as (select lang, regexp_extract_all(piece, '[^ \t]+') as w from pieces),
+grams as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+  from listed, (values (1), (2), (3)) s(k) where len(w) >= k),
+freq as (select lang, k, phrase, count(*) as a from grams group by all),
+total as (select lang, sum(a)::bigint as n from freq where k = 1 group by lang),
+cand as (select lang, k, phrase, string_split(phrase, ' ') as w, a from freq where k > 1 and a >= 10),
+inner_ as (
+  select lang, w[1] || ' ' || w[2] as phrase, a as m from cand where k = 3
+  union all select lang, w[2] || ' ' || w[3], a from cand where k = 3),
+absorbed as (select lang, phrase, max(m) as m from inner_ group by all),
+cuts as (
+  select c.lang, c.phrase, c.a, c.w, unnest(range(1, c.k)) as cut from cand c left join absorbed x using (lang, phrase) where x.m is null or 100 * x.m < 50 * c.a),
+scored as (
+  select c.lang, c.phrase, c.a, c.cut, l.a as l, r.a as r, (1000000::hugeint * c.a * c.a) // (l.a::hugeint * r.a) as score
+  from cuts c join freq l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  join freq r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from weakest)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+"""
