@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from barleaf.operators import calibration as C
 from barleaf.operators import forecast as FC
+from barleaf.operators import gate as G
 from barleaf.plans.basesql import PRICE
 from barleaf.plans.decision_queries import last_prices, name_lists
 from barleaf.plans.price_queries import features
 from barleaf.plans.registry import add_query
+from barleaf.plans.ridge_sql import ridge_ctes, score_sql
 from barleaf.session import staged
 from barleaf.sources import tables as T
 
@@ -242,13 +244,62 @@ add_query("band_log_return_sample", "ticker date:d log_ret:9 back:i", lambda s,
           "x as (select ticker, date, log_ret_1d as log_ret, row_number() over (partition by ticker order by date desc) as back from feat where log_ret_1d is not null)", "out as (select * from x where back <= 504)")
 
 
+INPUTS = ["mom_5d", "mom_20d", "mom_60d", "vol_20d", "rsi_14", "sma_gap_50", "rel_vol_20"]
+_ALL = " and ".join(f"{c} is not null" for c in INPUTS)
+_IN = ", ".join(INPUTS)
+
+
+def labelled(s, d):
+    """(horizon, date, ticker, inputs, y) at both horizons."""
+    return FC.stack_horizons(features(s, d), (5, 20), ["date", "ticker", *INPUTS])
+
+
+def gated(s, d):
+    return staged(s, f"gate:{d}", lambda: G.shuffled_label_gate(labelled(s, d), folds(s, d), INPUTS, "y", ("horizon",)))
+
+
+_SHUFFLED = [f"y{k}" for k in range(1, G.SHUFFLES + 1)]
+
+
+def _daily_ic(name, source, group):
+    """Mean within-date rank correlation per group, as CTEs."""
+    rank_of = lambda c: f"rank() over (partition by {group}, date order by {c}) + (count(*) over (partition by {group}, date, {c}) - 1) / 2.0"
+    return [
+        f"{name}_r as (select {group}, date, score, {rank_of('y')} as ry, {rank_of('score')} as rp from {source})",
+        f"{name}_d as (select {group}, date, count(*) as n, corr(ry, rp) as ic, stddev_pop(score) as sd from {name}_r group by {group}, date)",
+        f"{name} as (select {group}, avg(ic) as ic from {name}_d where n >= 10 and sd > 1e-12 and ic is not null and not isnan(ic) group by {group})",
+    ]
+
+
+GATE = [
+    f"gl as materialized (select 5 as horizon, date, ticker, {_IN}, forward_return_5d as y from feat where {_ALL} and forward_return_5d is not null union all select 20, date, ticker, {_IN}, forward_return_20d from feat where {_ALL} and forward_return_20d is not null)",
+    f"gtr as (select horizon, fold, {_IN}, y from gl join folds on date < train_end)",
+    *ridge_ctes("wf", "gtr", ["horizon", "fold"], INPUTS, ["y"]),
+    f"gts as (select horizon, fold, date, ticker, y, {score_sql(INPUTS)} as score from gl join folds on date between test_start and test_end join wf using (horizon, fold))",
+    *_daily_ic("gic", "gts", "horizon, fold"),
+    "gre as (select horizon, avg(coalesce(ic, 0)) as ic_mean, case when stddev_pop(coalesce(ic, 0)) > 1e-9 then avg(coalesce(ic, 0)) / stddev_pop(coalesce(ic, 0)) else 0 end as icir, count(*) as n_folds from (select distinct horizon, fold from gts) left join gic using (horizon, fold) group by 1)",
+    f"gp as (select horizon, date, ticker, {_IN}, y, md5('0|' || date || '|' || ticker) as h, greatest(1, count(*) over (partition by horizon) // {G.BLOCK}) as nb from gl, folds where fold = (select max(fold) from folds) and date < train_end)",
+    "gb as (select *, cast('0x' || substr(h, 1, 8) as bigint) % nb as blk from gp)",
+    "gq as materialized (select *, row_number() over (partition by horizon, blk order by h, date, ticker) - 1 as pl, count(*) over (partition by horizon, blk) as sz from gb)",
+    f"gf as (select horizon, blk, list(y order by pl) as fy from gq where pl < {G.SHUFFLES} group by 1, 2)",
+    f"gz as materialized (select horizon, {_IN}, " + ", ".join(f"case when pl + {k} < sz then lead(y, {k}) over (partition by horizon, blk order by pl) else fy[(pl + {k}) % sz + 1] end as {y}" for k, y in enumerate(_SHUFFLED, 1)) + " from gq join gf using (horizon, blk))",
+    *ridge_ctes("nl", "gz", ["horizon"], INPUTS, _SHUFFLED),
+    "gfin as (select gl.* from gl, folds where fold = (select max(fold) from folds) and date between test_start and test_end)",
+    "gns as (" + " union all ".join(f"select horizon, {k} as s, date, y, {score_sql(INPUTS, k - 1)} as score from gfin join nl using (horizon)" for k in range(1, G.SHUFFLES + 1)) + ")",
+    *_daily_ic("gni", "gns", "horizon, s"),
+    f"gnu as (select horizon, avg(coalesce(abs(ic), 0)) as shuffled_ic_mean, quantile_cont(coalesce(abs(ic), 0), 0.95) as shuffled_ic_p95, count(*) as n_shuffles from (select horizon, s from nl, range(1, {G.SHUFFLES + 1}) r(s)) left join gni using (horizon, s) group by 1)",
+    "gte as (select *, abs(ic_mean) as real_abs_ic, abs(ic_mean) > shuffled_ic_p95 as passed from gre left join gnu using (horizon))",
+]
+add_query("gate_shuffled_labels", "horizon:i real_abs_ic:8 shuffled_ic_mean:8 shuffled_ic_p95:8 n_shuffles:i passed icir:6 n_folds:i", gated, PRICE, FOLDS, *GATE, relation="gte")
+
+
 def quality(s, d):
-    r = T.table(s, d, "region").filter("r_regionkey < 2")
-    return r.select(F.when(F.col("r_regionkey") == 0, 5).otherwise(20).alias("horizon"), FC.reliability(F.col("r_regionkey") * 0.5, F.col("r_regionkey") == 1).alias("reliability"))
+    """Reliability of each horizon's model: its ICIR, discounted where the gate fails."""
+    return gated(s, d).select("horizon", FC.reliability(F.col("icir"), F.col("passed")).alias("reliability"))
 
 
-QUAL = "qual as (select case when r_regionkey = 0 then 5 else 20 end as horizon, case when r_regionkey = 0 then 0.05 * cast(0.35 as double) else 0.5 end as reliability from region where r_regionkey < 2)"
-add_query("plan_reliability", "horizon:i reliability:9", quality, QUAL, relation="qual")
+QUAL = ",\n".join([FOLDS.strip(), *GATE, "qual as (select horizon, greatest(icir, 0.05) * case when passed then 1 else cast(0.35 as double) end as reliability from gte)"])
+add_query("plan_reliability", "horizon:i reliability:6", quality, PRICE, QUAL, relation="qual")
 
 
 def tilted(s, d):
@@ -306,29 +357,46 @@ add_query("plan_invest", "ticker conviction:8 horizon:i skipped weight:8 whole_s
 
 # -- models -------------------------------------------------------------------
 
-INPUTS = ["mom_5d", "mom_20d", "mom_60d", "vol_20d", "rsi_14", "sma_gap_50", "rel_vol_20"]
+TARGET = "forward_return_20d"
 
 
 def rows(s, d):
-    return features(s, d).select("date", "ticker", *INPUTS, "forward_return_20d")
+    return features(s, d).select("date", "ticker", *INPUTS, TARGET)
 
 
 def walked(s, d):
-    return FC.walk_forward(rows(s, d), folds(s, d), INPUTS, "forward_return_20d")
+    return FC.walk_forward(rows(s, d), folds(s, d), INPUTS, TARGET)
 
 
-add_query("model_walk_forward", "fold:i date:d ticker score:5", walked)
-add_query("model_walk_forward_metrics", "model fold:i ic:5 hit_rate:5 n:i", lambda s, d: C.fold_metrics(walked(s, d).withColumn("model", F.lit("ridge")), "forward_return_20d", "score"))
-add_query("model_importance", "feature importance:5", lambda s, d: FC.importance(rows(s, d), FC.fit_linear(rows(s, d).withColumn("one", F.lit(1)), INPUTS, "forward_return_20d", ["one"]).drop("one"), INPUTS))
+WALKED = [
+    PRICE, FOLDS,
+    f"wtr as (select fold, {_IN}, {TARGET} from feat join folds on date < train_end where {_ALL} and {TARGET} is not null)",
+    *ridge_ctes("wm", "wtr", ["fold"], INPUTS, [TARGET]),
+    f"wlk as (select fold, date, ticker, {TARGET}, {score_sql(INPUTS)} as score from feat join folds on date between test_start and test_end join wm using (fold) where {_ALL})",
+]
+add_query("model_walk_forward", "fold:i date:d ticker score:5", walked, *WALKED, relation="wlk")
+add_query("model_walk_forward_metrics", "model fold:i ic:5 hit_rate:5 n:i", lambda s, d: C.fold_metrics(walked(s, d).withColumn("model", F.lit("ridge")), TARGET, "score"),
+          *WALKED, f"pred as (select 'ridge' as model, fold, date, ticker, {TARGET} as y, score from wlk where {TARGET} is not null)", IC, FOLDM, relation="fmet")
 
 
 def fitted(s, d):
     """One fit on every labelled row."""
-    return FC.fit_linear(rows(s, d).withColumn("one", F.lit(1)), INPUTS, "forward_return_20d", ["one"]).drop("one")
+    return FC.fit_linear(rows(s, d).withColumn("one", F.lit(1)), INPUTS, TARGET, ["one"]).drop("one")
 
 
-add_query("model_latest_scores", "date:d ticker score:5", lambda s, d: FC.latest_scores(rows(s, d), fitted(s, d), INPUTS))
-add_query("model_stacked", "date:d ticker score:5", lambda s, d: FC.stack_models(predictions(s, d), list(MODELS), "y"))
+FITTED = [PRICE, f"ftr as (select 1 as one, {_IN}, {TARGET} from feat where {_ALL} and {TARGET} is not null)", *ridge_ctes("fit", "ftr", ["one"], INPUTS, [TARGET])]
+add_query(
+    "model_importance", "feature importance:5", lambda s, d: FC.importance(rows(s, d), fitted(s, d), INPUTS), *FITTED,
+    "out as (" + " union all ".join(f"select '{c}' as feature, avg(abs(({c} - mean[{i}]) * b_0[{i}])) as importance from feat, fit where {_ALL}" for i, c in enumerate(INPUTS, 1)) + ")",
+)
+add_query("model_latest_scores", "date:d ticker score:5", lambda s, d: FC.latest_scores(rows(s, d), fitted(s, d), INPUTS), *FITTED,
+          f"out as (select date, ticker, {score_sql(INPUTS)} as score from feat, fit where {_ALL} and date = (select max(date) from feat))")
+add_query(
+    "model_stacked", "date:d ticker score:5", lambda s, d: FC.stack_models(predictions(s, d), list(MODELS), "y"), *PRED,
+    "wd as (select 1 as one, date, ticker, y, " + ", ".join(f"any_value(score) filter (model = '{m}') as {m}" for m in MODELS) + " from pred group by date, ticker, y)",
+    "wc as (select * from wd where " + " and ".join(f"{m} is not null" for m in MODELS) + ")", *ridge_ctes("stk", "wc", ["one"], list(MODELS), ["y"]),
+    f"out as (select date, ticker, {score_sql(list(MODELS))} as score from wc join stk using (one))",
+)
 _PADDED = "list_concat(list_transform(range(0, 10 - least(rn, 10)), lambda i: f), w)"
 add_query(
     "model_lookback_windows", "date:d ticker n:i total:4", lambda s, d: FC.lookback_windows(T.panel(s, d), ["adj_close"], 10).select("date", "ticker", F.size("window").alias("n"), F.aggregate(F.flatten("window"), F.lit(0.0), lambda a, x: a + F.log(x)).alias("total")),
