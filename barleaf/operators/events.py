@@ -39,9 +39,9 @@ def daily_events(events: DataFrame) -> DataFrame:
     )
 
 
-def decayed(x: str, n: int, rate: float = DECAY) -> Column:
+def decayed(x: str, n: int, rate: float = DECAY, over=None) -> Column:
     """Weighted mean of the last n rows, weight rate**age, over rows that exist."""
-    w = by_ticker()
+    w = over if over is not None else by_ticker()
     num = den = F.lit(0.0)
     for age in range(n):
         past = F.lag(x, age).over(w) if age else F.col(x)
@@ -51,8 +51,12 @@ def decayed(x: str, n: int, rate: float = DECAY) -> Column:
 
 
 def event_features(events: DataFrame) -> DataFrame:
-    daily = daily_events(events)
-    out = daily.select("*", *[decayed("event_sentiment_mean", n).alias(f"sent_decay_{n}d") for n in (3, 7, 14)])
+    return decays(daily_events(events))
+
+
+def decays(daily: DataFrame, over=None) -> DataFrame:
+    """Decayed means of ``event_sentiment_mean`` over days with events."""
+    out = daily.select("*", *[decayed("event_sentiment_mean", n, over=over).alias(f"sent_decay_{n}d") for n in (3, 7, 14)])
     return out.withColumn("sent_momentum", F.col("sent_decay_3d") - F.col("sent_decay_7d"))
 
 
@@ -88,12 +92,15 @@ def nearest_dates(panel: DataFrame, events: DataFrame, by: tuple[str, ...] = ())
     """
     marks = events.select(*by, "date").distinct().select(*by, "date", day("date").alias("_event"), F.lit(None).cast("boolean").alias("_row"))
     rows = panel.withColumn("_row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
-    rows = rows.withColumn("_day", day("date"))
+    return around(rows.withColumn("_day", day("date")), by).filter("_row").drop("_row", "_event", "_day")
+
+
+def around(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``_past`` and ``_next``: days to the nearest ``_event`` before ``_day``, and on or after it."""
     back = Window.partitionBy(*by).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*by).orderBy(F.col("_day").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_past", F.max("_event").over(back) - F.col("_day"))
-    rows = rows.withColumn("_next", F.min("_event").over(ahead) - F.col("_day"))
-    return rows.filter("_row").drop("_row", "_event", "_day")
+    return rows.withColumn("_next", F.min("_event").over(ahead) - F.col("_day"))
 
 
 def market_calendar_features(panel: DataFrame, calendar: DataFrame, imminent_days: int = 3) -> DataFrame:
@@ -113,7 +120,10 @@ def market_calendar_features(panel: DataFrame, calendar: DataFrame, imminent_day
 
 def earnings_features(panel: DataFrame, earnings: DataFrame, max_ahead: int = 90) -> DataFrame:
     """Days to the next known date up to 90 days out, else since the last one."""
-    near = nearest_dates(panel, earnings, by=("ticker",))
+    return until_earnings(nearest_dates(panel, earnings, by=("ticker",)), max_ahead)
+
+
+def until_earnings(near: DataFrame, max_ahead: int = 90) -> DataFrame:
     signed = F.when(F.col("_next") <= max_ahead, F.col("_next")).otherwise(F.col("_past")).cast("double")
     return near.withColumn("days_to_earnings", F.coalesce(signed, F.lit(999.0))).withColumn(
         "hist_earnings_sentiment_mean", F.lit(None).cast("double")
@@ -134,7 +144,12 @@ def filing_features(panel: DataFrame, filings: DataFrame) -> DataFrame:
         F.count_if(F.col("form").isin(*INSIDER)).alias("_f4"),
     )
     rows = panel.withColumn("_row", F.lit(True)).unionByName(daily, allowMissingColumns=True)
-    rows = spread(rows).withColumn("_day", day("date"))
+    rows = filing_counts(spread(rows).withColumn("_day", day("date")))
+    return rows.filter("_row").drop("_row", "_all", "_8k", "_f4", "_day")
+
+
+def filing_counts(rows: DataFrame) -> DataFrame:
+    """Trailing counts from daily ``_all``, ``_8k`` and ``_f4`` on rows with ``_day``."""
     base = Window.partitionBy("ticker").orderBy("_day")
     covered = F.max(F.col("_all").isNotNull()).over(Window.partitionBy("ticker"))
 
@@ -142,14 +157,13 @@ def filing_features(panel: DataFrame, filings: DataFrame) -> DataFrame:
         return F.when(covered, F.coalesce(F.sum(c).over(base.rangeBetween(-(days - 1), 0)), F.lit(0)))
 
     last = F.max(F.when(F.col("_all").isNotNull(), F.col("_day"))).over(base.rangeBetween(Window.unboundedPreceding, 0))
-    rows = rows.select(
+    return rows.select(
         "*",
         trailing("_all", 30).cast("double").alias("sec_filings_30d"),
         trailing("_8k", 30).cast("double").alias("sec_8k_30d"),
         trailing("_f4", 90).cast("double").alias("sec_form4_90d"),
         (F.col("_day") - last).cast("double").alias("sec_days_since_filing"),
     )
-    return rows.filter("_row").drop("_row", "_all", "_8k", "_f4", "_day")
 
 
 # -- macro --------------------------------------------------------------------
@@ -180,8 +194,10 @@ def macro_features(series: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def join_macro(panel: DataFrame, macro: DataFrame) -> DataFrame:
     """Left join by date, carry within the ticker, zero before the first print."""
-    cols = [c for c in macro.columns if c != "date"]
-    df = panel.join(macro, "date", "left")
+    return carried_macro(panel.join(macro, "date", "left"), [c for c in macro.columns if c != "date"])
+
+
+def carried_macro(df: DataFrame, cols: list[str]) -> DataFrame:
     keep = [c for c in df.columns if c not in cols]
     return df.select(*keep, *[F.coalesce(F.nanvl(carry(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in cols])
 
@@ -205,7 +221,12 @@ def covered(c: str) -> Column:
 
 
 def tone_features(panel: DataFrame, tone: DataFrame, half_life: float = 7) -> DataFrame:
-    df = attach(panel, tone, ["gdelt_tone", "gdelt_vol"]).withColumn("_cov", covered("gdelt_tone"))
+    return tone_of(attach(panel, tone, ["gdelt_tone", "gdelt_vol"]), half_life)
+
+
+def tone_of(df: DataFrame, half_life: float = 7) -> DataFrame:
+    """From daily ``gdelt_tone`` and ``gdelt_vol`` already on the panel."""
+    df = df.withColumn("_cov", covered("gdelt_tone"))
     df = df.withColumn("_log", F.log(F.coalesce("gdelt_vol", F.lit(0)) + 1.0))
     df = ewm(
         df,
@@ -221,7 +242,12 @@ def tone_features(panel: DataFrame, tone: DataFrame, half_life: float = 7) -> Da
 
 
 def attention_features(panel: DataFrame, views: DataFrame) -> DataFrame:
-    df = attach(panel, views, ["wiki_views"]).withColumn("_log", F.log(F.col("wiki_views") + 1.0))
+    return attention_of(attach(panel, views, ["wiki_views"]))
+
+
+def attention_of(df: DataFrame) -> DataFrame:
+    """From daily ``wiki_views`` already on the panel."""
+    df = df.withColumn("_log", F.log(F.col("wiki_views") + 1.0))
     decays = {"_fast": ("_log", half_life_decay(3)), "_slow": ("_log", half_life_decay(20))}
     df = ewm(df, decays, skip_null_steps=True)
     return df.withColumns(
@@ -235,7 +261,12 @@ def text_features(panel: DataFrame, scored: DataFrame, half_life: float = 7) ->
         F.to_date("known_at").alias("date"), F.explode("tickers").alias("ticker"), "finbert_sentiment"
     )
     daily = rows.groupBy("ticker", "date").agg(F.avg("finbert_sentiment").alias("_fb"), F.count("*").alias("_n"))
-    df = panel.join(daily, ["ticker", "date"], "left").fillna(0, ["_fb", "_n"])
+    return sentiment_of(panel.join(daily, ["ticker", "date"], "left"), half_life)
+
+
+def sentiment_of(df: DataFrame, half_life: float = 7) -> DataFrame:
+    """From the daily mean ``_fb`` of ``_n`` scored items already on the panel."""
+    df = df.fillna(0, ["_fb", "_n"])
     df = df.withColumn("finbert_news_30d", F.sum("_n").over(by_ticker().rowsBetween(-29, 0)))
     df = ewm(df, {"_slow": ("_fb", half_life_decay(half_life)), "_fast": ("_fb", half_life_decay(3))})
     seen = F.col("finbert_news_30d") > 0

@@ -107,7 +107,8 @@ def extended_features(df: DataFrame, benchmark: str | None) -> DataFrame:
     df = df.drop("_impact", "_losing", "_mean60", "_top", "_bottom", "_mid", "_width", "_fourth", "_drop")
     if benchmark is None:
         return add(df, {"beta_60": F.lit(1.0), "corr_bench_60": F.lit(0.0)}).drop("_sd60")
-    df = with_benchmark(df, benchmark, "ret_1d", "bench_ret_1d")
+    if "bench_ret_1d" not in df.columns:
+        df = with_benchmark(df, benchmark, "ret_1d", "bench_ret_1d")
     rb = F.col("bench_ret_1d")
     df = add(
         df,

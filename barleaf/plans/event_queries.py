@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barleaf.functions.windows import half_life_decay
+from barleaf.operators import assembly as A
 from barleaf.operators import events as E
-from barleaf.plans.basesql import AVG, BARS, SD, W, lag, roll
+from barleaf.plans.basesql import AVG, BARS, PRICE, SD, W, lag, roll
 from barleaf.plans.registry import add_query
+from barleaf.session import staged
 from barleaf.sources import tables as T
 
 NEWS = """
@@ -50,15 +52,8 @@ add_query(
        case when s < -0.2 then 'deteriorating' when s > 0.2 then 'improving' else 'stable' end as outlook from agg)""",
 )
 
-# calendars: urgent-order days of the largest customers stand in for meetings
-# and each brand's biggest-volume days for its reporting dates
-
-
-def calendar(s, d):
-    o = T.table(s, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 450000")
-    name = F.when(F.col("o_orderkey") % 2 == 0, "FOMC Meeting").otherwise("CPI")
-    return o.select(name.alias("event_name"), F.to_date("o_orderdate").alias("date")).distinct()
-
+# calendars: days with a pending order at an end of the price range stand in for
+# meetings and the filers' urgent orders of mid-month for reporting dates
 
 def earnings(s, d):
     o = T.filings(s, d).filter("form = '8-K'").filter(F.dayofmonth("date") == 15)
@@ -66,8 +61,8 @@ def earnings(s, d):
 
 
 CAL = """
-cal as (select distinct case when o_orderkey % 2 = 0 then 'FOMC Meeting' else 'CPI' end as event_name, cast(o_orderdate as date) as date
-  from orders where o_orderstatus = 'P' and o_totalprice > 450000)"""
+cal as (select event_name, date from (select cast(o_orderdate as date) as date, arg_max(o_orderstatus, row(o_totalprice, o_orderkey)) as hi, arg_min(o_orderstatus, row(o_totalprice, o_orderkey)) as lo from orders group by 1),
+  (select unnest(['FOMC Meeting', 'CPI']) as event_name) where case when event_name = 'CPI' then lo else hi end = 'P')"""
 FILINGS = """
 filings as (select c_mktsegment as ticker, cast(o_orderdate as date) as date,
    case o_orderpriority when '1-URGENT' then '8-K' when '2-HIGH' then '4' when '3-MEDIUM' then '4/A' when '4-NOT SPECIFIED' then '424B5' else '10-Q' end as form
@@ -76,7 +71,7 @@ fpanel as (select date, ticker from (select distinct cast(o_orderdate as date) a
    (select distinct c_mktsegment as ticker from customer))"""
 add_query(
     "events_market_calendar", "date:d ticker days_to_fomc:1 macro_event_imminent",
-    lambda s, d: E.market_calendar_features(T.filing_panel(s, d), calendar(s, d)), CAL, FILINGS,
+    lambda s, d: E.market_calendar_features(T.filing_panel(s, d), T.meetings(s, d)), CAL, FILINGS,
     """dist as (select p.date, min(c.date - p.date) filter (c.date >= p.date and event_name like '%FOMC%') as nxt,
         max(c.date - p.date) filter (c.date < p.date and event_name like '%FOMC%') as pst,
         coalesce(bool_or(c.date - p.date between 0 and 3), false) as macro_event_imminent
@@ -195,3 +190,88 @@ add_query(
     """out as (select ticker, date, finbert_news_30d, case when finbert_news_30d > 0 then slow end as finbert_sent,
         case when finbert_news_30d > 0 then fast - slow end as finbert_sent_mom from fast_t)""",
 )
+
+# -- the feature matrix --------------------------------------------------------
+
+SOURCES = {
+    "events": T.brand_news,
+    "apprehension": lambda s, d: E.apprehension(T.brand_news(s, d), T.brand_news(s, d).agg(F.max(F.to_date("known_at"))).scalar(), 365),
+    "calendar": T.meetings,
+    "earnings": lambda s, d: T.brand_filings(s, d).filter("form = '8-K' and dayofmonth(date) = 15").select("ticker", "date").distinct(),
+    "macro": lambda s, d: E.macro_features(T.macro_series(s, d), NAMES),
+    "tone": T.tone_series,
+    "filings": T.brand_filings,
+    "views": T.view_series,
+    "scored": T.brand_news,
+}
+
+
+def assembled(*absent):
+    def build(s, d):
+        given = {k: f(s, d) for k, f in SOURCES.items() if k not in absent}
+        return staged(s, f"matrix:{d}:{','.join(absent)}", lambda: A.feature_matrix(T.panel(s, d), T.BENCHMARK, **given))
+
+    return build
+
+
+_BNEWS = NEWS.replace("cast(timestamp '2020-01-01' + to_hours(cast(doc_id as integer)) as date) as date", "date '1995-01-01' + cast(doc_id * 37 % 2400 as int) as date").replace(
+    "news as (select *, source as ticker from news0 union all select *, lang as ticker from news0)", "news as (select *, 'Brand#' || (doc_id % 25 + 1) as ticker from news0)")
+_MATRIX = [
+    PRICE, _BNEWS,
+    f"dec as (select *, {', '.join(f'{decay_sql(n)} as sent_decay_{n}d' for n in (3, 7, 14))} from daily)",
+    "apt as (select max(date) as d from news)",
+    "apa as (select ticker, avg(sentiment) as s, avg(magnitude) as m, sum(flags) as f, count(*) as n from news, apt where date >= d - 365 group by ticker)",
+    """apr as (select (select d from apt) as date, ticker, least(1, greatest(0, -s) * cast(0.45 as double) + m * cast(0.25 as double) + least(1, f / n) * cast(0.3 as double)) as apprehension_score,
+       case when s < -0.2 then 'deteriorating' when s > 0.2 then 'improving' else 'stable' end as outlook from apa)""",
+    CAL,
+    """mdist as (select p.date, min(c.date - p.date) filter (c.date >= p.date and event_name like '%FOMC%') as nxt, max(c.date - p.date) filter (c.date < p.date and event_name like '%FOMC%') as pst,
+        coalesce(bool_or(c.date - p.date between 0 and 3), false) as macro_event_imminent from (select distinct date from panel) p, cal c group by p.date)""",
+    "mcal as (select date, coalesce(case when nxt is null then pst when pst is null then nxt when abs(nxt) <= abs(pst) then nxt else pst end, 999) as days_to_fomc, macro_event_imminent from mdist)",
+    """bfil as (select p_brand as ticker, cast(o_orderdate as date) as date,
+        case o_orderpriority when '1-URGENT' then '8-K' when '2-HIGH' then '4' when '3-MEDIUM' then '4/A' when '4-NOT SPECIFIED' then '424B5' else '10-Q' end as form
+        from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey)""",
+    "bday as (select ticker, date, count(*) as n, count(*) filter (form like '8-K%') as k, count(*) filter (form in ('4', '4/A')) as f from bfil group by ticker, date)",
+    """bcnt as (select p.date, p.ticker, coalesce(sum(n) filter (f.date > p.date - 30), 0) as sec_filings_30d, coalesce(sum(k) filter (f.date > p.date - 30), 0) as sec_8k_30d,
+        coalesce(sum(f) filter (f.date > p.date - 90), 0) as sec_form4_90d, p.date - max(f.date) as last from panel p left join bday f on f.ticker = p.ticker and f.date <= p.date group by p.date, p.ticker)""",
+    "bern as (select distinct ticker, date from bfil where form = '8-K' and day(date) = 15)",
+    """bed as (select p.date, p.ticker, min(e.date - p.date) filter (e.date >= p.date and e.date - p.date <= 90) as nxt, max(e.date - p.date) filter (e.date < p.date) as pst
+        from panel p left join bern e on e.ticker = p.ticker group by p.date, p.ticker)""",
+    MACRO,
+    "mpan as (select p.ticker, m.*, p.date as date from panel p left join (select * exclude (date), date as mdate from macro) m on p.date = m.mdate)",
+    f"mcar as (select ticker, date, {_CARRY} from mpan)",
+    *_TONE[1:], *[p.replace("views as", "views2 as").replace("left join views v", "left join views2 v") if i < 2 else p for i, p in enumerate(_VIEWS)],
+    "bsc as (select ticker, date, avg(sentiment) as fb, count(*) as n from news where n_chars % 3 <> 0 group by ticker, date)",
+    "xp as (select p.ticker, p.date, coalesce(fb, 0) as fb, coalesce(n, 0) as n, sum(coalesce(n, 0)) over (partition by p.ticker order by p.date rows between 29 preceding and current row) as finbert_news_30d from panel p left join bsc using (ticker, date))",
+    ewm_sql("xslow", "fb", 7, "xp", False), ewm_sql("xfast", "fb", 3, "xslow_t", False),
+    "xf as (select ticker, date, finbert_news_30d, case when finbert_news_30d > 0 then xslow end as finbert_sent, case when finbert_news_30d > 0 then xfast - xslow end as finbert_sent_mom from xfast_t)",
+    """mtx as (select feat.*, event_count, event_sentiment_mean, event_novelty_max, risk_flag_count, sent_decay_3d, sent_decay_14d, sent_decay_3d - sent_decay_7d as sent_momentum,
+        apprehension_score, coalesce(outlook, 'stable') as outlook, days_to_fomc, macro_event_imminent, coalesce(bed.nxt, bed.pst, 999) as days_to_earnings,
+        sec_filings_30d, sec_8k_30d, sec_form4_90d, coalesce(bcnt.last, 999) as sec_days_since_filing, macro_level_z_252, ln(macro_level + 1) as log_level, macro_peak,
+        coalesce(news_tone, 0) as news_tone, coalesce(news_tone_mom, 0) as news_tone_mom, coalesce(news_buzz, 0) as news_buzz, cast(coalesce(news_tone, news_tone_mom, news_buzz) is not null as int) as news_present,
+        coalesce(wiki_attention_z, 0) as wiki_attention_z, coalesce(wiki_attention_mom, 0) as wiki_attention_mom, cast(coalesce(wiki_attention_z, wiki_attention_mom) is not null as int) as wiki_present,
+        1 as sec_present, finbert_sent, finbert_sent_mom, finbert_news_30d
+        from feat left join dec using (ticker, date) left join apr using (ticker, date) left join mcal using (date) left join bed using (ticker, date) left join bcnt using (ticker, date)
+        left join mcar using (ticker, date) left join tonef using (ticker, date) left join viewf using (ticker, date) left join xf using (ticker, date))""",
+]
+_PRICED = "date:d ticker ret_1d:6 mom_20d:6 vol_20d:6 rsi_14:6 max_dd_252:8 beta_60:5 mom_20d_rank:9 bull_regime:i forward_return_5d:6 forward_return_20d:6"
+_BY_SOURCE = {
+    "events": "event_count:i event_sentiment_mean:9 event_novelty_max:9 risk_flag_count:i sent_decay_3d:9 sent_decay_14d:9 sent_momentum:9",
+    "apprehension": "apprehension_score:9 outlook", "calendar": "days_to_fomc:1 macro_event_imminent", "earnings": "days_to_earnings:1", "macro": "macro_level_z_252:8 log_level:9 macro_peak:2",
+    "tone": "news_tone:9 news_tone_mom:9 news_buzz:8 news_present:1", "filings": "sec_filings_30d:1 sec_8k_30d:1 sec_form4_90d:1 sec_days_since_filing:1 sec_present:1",
+    "views": "wiki_attention_z:8 wiki_attention_mom:8 wiki_present:1", "scored": "finbert_sent:9 finbert_sent_mom:9 finbert_news_30d:i",
+}
+
+
+def matrix_query(name, *absent):
+    spec = " ".join([_PRICED, *[c for k, c in _BY_SOURCE.items() if k not in absent]])
+
+    def build(s, d):
+        df = assembled(*absent)(s, d)
+        return df.withColumn("log_level", F.log(F.col("macro_level") + 1)) if "macro" not in absent else df
+
+    add_query(name, spec, build, *_MATRIX, relation="mtx")
+
+
+matrix_query("features_assembled")
+matrix_query("features_assembled_prices_and_filings", "events", "apprehension", "calendar", "earnings", "macro", "tone", "views", "scored")
+matrix_query("features_assembled_without_filings", "filings", "apprehension", "events")

@@ -159,3 +159,32 @@ def news_panel(spark: SparkSession, folder: str) -> DataFrame:
     )
     names = days.groupBy().agg(F.collect_set("source").alias("names"))
     return days.select("date").distinct().select("date", F.explode(names.select("names").scalar()).alias("ticker"))
+
+
+# -- sources keyed by the brands of the bars ------------------------------------
+
+BRANDS = 25
+
+
+def brand_news(spark: SparkSession, folder: str) -> DataFrame:
+    """The news events dealt to brands, over the years that the bars cover."""
+    day = F.lit(788918400) + (F.col("event_id") * 37 % 2400) * 86400 + 3600
+    brand = F.concat(F.lit("Brand#"), (F.col("event_id") % BRANDS + 1).cast("string"))
+    return news(spark, folder).withColumns({"known_at": F.timestamp_seconds(day), "tickers": F.array(brand)})
+
+
+def brand_filings(spark: SparkSession, folder: str) -> DataFrame:
+    """One filing per line: the order's date and priority, the part's brand."""
+    form = F.coalesce(*[F.when(F.col("o_orderpriority") == k, v) for k, v in FORMS.items()])
+    orders = table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"), form.alias("form"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey")
+    parts = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).join(orders, lines.l_orderkey == orders.o_orderkey).select("ticker", "date", "form")
+
+
+def meetings(spark: SparkSession, folder: str) -> DataFrame:
+    """(event_name, date): days whose largest order is pending are rate meetings,
+    days whose smallest one is are price reports."""
+    size = F.struct("o_totalprice", "o_orderkey")
+    daily = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max_by("o_orderstatus", size).alias("FOMC Meeting"), F.min_by("o_orderstatus", size).alias("CPI"))
+    return daily.unpivot("date", ["FOMC Meeting", "CPI"], "event_name", "status").filter("status = 'P'").select("event_name", "date")
