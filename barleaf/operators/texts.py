@@ -7,10 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barleaf.functions.text import jaccard, token_set
+from barleaf.functions.text import token_set
+from barleaf.operators import similarity as S
 from barleaf.session import cut
 
+#: Earliest members of a token's group that the first round compares; each round compares four times as many.
 FRONT = 64
+#: Parts in which a group's earliest members are looked for.
+PARTS = 64
 
 
 def content_key(text: Column) -> Column:
@@ -21,17 +25,11 @@ def content_key(text: Column) -> Column:
 # -- near duplicates ----------------------------------------------------------
 
 
-def rare_prefixes(docs: DataFrame, threshold: float) -> DataFrame:
-    """(ticker, id, size, token): each set's rarest tokens.
-
-    Two sets with Jaccard of at least the threshold share one of the first
-    size - ceil(threshold * size) + 1 tokens in any common order; rare tokens
-    first keeps the groups small.
-    """
-    tokens = docs.select("ticker", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("_df"))
-    ranked = tokens.join(spread, "token").withColumn("_no", F.row_number().over(Window.partitionBy("ticker", "id").orderBy("_df", "token")))
-    return ranked.filter(F.col("_no") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("ticker", "id", "size", "token")
+def earliest(postings: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by id of every (ticker, token), found by parts of a group."""
+    part = Window.partitionBy("ticker", "token", F.pmod(F.xxhash64("id"), F.lit(PARTS))).orderBy("id")
+    some = postings.withColumn("_no", F.row_number().over(part)).filter(F.col("_no") <= n)
+    return some.withColumn("_no", F.row_number().over(Window.partitionBy("ticker", "token").orderBy("id"))).filter(F.col("_no") <= n)
 
 
 def near_copies(articles: DataFrame, threshold: float = 0.90) -> DataFrame:
@@ -39,11 +37,12 @@ def near_copies(articles: DataFrame, threshold: float = 0.90) -> DataFrame:
     sets with Jaccard of at least the threshold stays (a dropped article does
     not shadow later ones).
 
-    Equal sets collapse to their first article.  The rest are compared through
-    shared rare tokens, and in each token group only with the first 64
-    undecided articles, so pairs grow linearly even when a group holds a third
-    of all rows.  An article whose earlier group mates were all compared is
-    decided; others wait for the next round, where the groups have shrunk.
+    Equal sets collapse to their first article.  The rest meet through the
+    similarity join's prefix tokens, in each token's group only with its
+    earliest undecided members.  An article whose earlier group mates were all
+    compared is decided; others wait.  A round compares four times as many
+    members as the one before, so a group of n needs at most log4(n / 64) + 1
+    rounds, and usually one: its first members decide the rest.
     ``articles`` needs (ticker, id, text).
     """
     # token sets are written once: every later step reads them several times
@@ -52,26 +51,24 @@ def near_copies(articles: DataFrame, threshold: float = 0.90) -> DataFrame:
     first = keyed.groupBy("ticker", "_key").agg(F.min("id").alias("_first"))
     names = keyed.select("ticker", "id", "_key").join(first, ["ticker", "_key"])
     copies = names.filter("id <> _first").select("ticker", "id")
-    reps = sets.join(names.filter("id = _first").select("ticker", "id"), ["ticker", "id"])
-    postings = cut(rare_prefixes(reps, threshold))
+    reps = cut(S.masked(sets.join(names.filter("id = _first").select("ticker", "id"), ["ticker", "id"])))
+    postings = cut(S.prefixes(reps, S.frequencies(reps), ["ticker", "id"], threshold))
 
-    undecided, dropped = reps.select("ticker", "id"), copies
+    undecided, dropped, front = reps.select("ticker", "id"), copies, FRONT
     while True:
         live = postings.join(undecided, ["ticker", "id"])
-        group = Window.partitionBy("ticker", "token").orderBy("id")
-        placed = live.withColumn("_at", F.row_number().over(group))
-        fronts = placed.filter(F.col("_at") <= FRONT).select("ticker", "token", F.col("id").alias("a"), F.col("size").alias("_sa"))
-        pairs = fronts.join(live, ["ticker", "token"]).filter((F.col("a") < F.col("id")) & (F.least("_sa", "size") >= threshold * F.greatest("_sa", "size")))
-        pairs = pairs.select("ticker", "a", F.col("id").alias("b")).distinct()
-        left = reps.select("ticker", F.col("id").alias("a"), F.col("tokens").alias("_ta"))
-        right = reps.select("ticker", F.col("id").alias("b"), F.col("tokens").alias("_tb"))
-        edges = pairs.join(left, ["ticker", "a"]).join(right, ["ticker", "b"]).filter(jaccard("_ta", "_tb") >= threshold).select("ticker", "a", "b")
-        waiting = placed.filter(F.col("_at") > FRONT).select("ticker", "id").distinct()
+        fronts = cut(earliest(live, front))
+        last = fronts.groupBy("ticker", "token").agg(F.max("id").alias("_last"), F.count("*").alias("_n")).filter(F.col("_n") == front).drop("_n")
+        waiting = live.join(last, ["ticker", "token"]).filter(F.col("id") > F.col("_last")).select("ticker", "id").distinct()
+        pairs = S.candidates(live.withColumnRenamed("id", "b"), fronts.drop("_no").withColumnRenamed("id", "a"), ["ticker"], "b", "a", threshold, F.col("a") < F.col("b"))
+        whole = reps.select("ticker", "id", "tokens")
+        edges = S.verified(pairs, whole.withColumnRenamed("id", "b"), whole.withColumnRenamed("id", "a"), ["ticker"], "b", "a", threshold).select("ticker", "a", "b")
         edges, waiting = cut(edges), cut(waiting)
         kept, gone, undecided = settle(undecided, edges, waiting)
         dropped = dropped.unionByName(gone)
         if undecided.isEmpty():
             return dropped
+        front *= 4
 
 
 def settle(undecided: DataFrame, edges: DataFrame, waiting: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barleaf.functions import text as X
+from barleaf.operators import similarity as SIM
 from barleaf.operators import texts as M
 from barleaf.plans.registry import add_query
 from barleaf.sources import tables as T
@@ -36,12 +37,10 @@ _BENCH_TOK = TOKENS.replace("toks as", "btoks as").replace("doc_id, source, text
 
 
 def overlap(s, d):
-    """Jaccard of every document with the benchmark items that share its
-    rarest tokens (the pair table is an equi-join on token, not a product)."""
-    a = docs(s, d).select("doc_id", X.token_set("text").alias("ta")).filter(F.size("ta") > 0)
-    b = T.table(s, d, "benchmark").select("item_id", X.token_set("text").alias("tb"))
-    hits = a.select("doc_id", F.explode("ta").alias("t")).join(b.select("item_id", F.explode("tb").alias("t")), "t").select("doc_id", "item_id").distinct()
-    return hits.join(a, "doc_id").join(b, "item_id").select("doc_id", "item_id", X.jaccard("ta", "tb").alias("jaccard")).filter("jaccard >= 0.1")
+    """Jaccard of every document with the benchmark items it shares a tenth of its tokens with."""
+    a = docs(s, d).select("doc_id", X.token_set("text").alias("tokens"))
+    b = T.table(s, d, "benchmark").select("item_id", X.token_set("text").alias("tokens"))
+    return SIM.similar(a, b, "doc_id", "item_id", 0.1)
 
 
 add_query("words_jaccard", "doc_id:i item_id:i jaccard:9", overlap, TOKENS, _BENCH_TOK,
