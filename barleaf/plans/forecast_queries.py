@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barleaf.operators import bands as B
 from barleaf.operators import calibration as C
 from barleaf.operators import forecast as FC
 from barleaf.operators import gate as G
@@ -11,7 +12,7 @@ from barleaf.plans.basesql import PRICE
 from barleaf.plans.decision_queries import last_prices, name_lists
 from barleaf.plans.price_queries import features
 from barleaf.plans.registry import add_query
-from barleaf.plans.ridge_sql import ridge_ctes, score_sql
+from barleaf.plans.ridge_sql import quantile_ctes, quantile_sql, ridge_ctes, score_sql
 from barleaf.session import staged
 from barleaf.sources import tables as T
 
@@ -302,6 +303,55 @@ QUAL = ",\n".join([FOLDS.strip(), *GATE, "qual as (select horizon, greatest(icir
 add_query("plan_reliability", "horizon:i reliability:6", quality, PRICE, QUAL, relation="qual")
 
 
+# -- bands that follow the features --------------------------------------------
+
+
+def band_fit(s, d):
+    """(model, margins), each written once."""
+    made = {}
+
+    def part(i):
+        def build():
+            made.setdefault("both", B.fitted_bands(labelled(s, d), INPUTS))
+            return made["both"][i]
+        return staged(s, f"fitted-bands-{i}:{d}", build)
+
+    return part(0), part(1)
+
+
+def fitted_terms(s, d):
+    terms = F.array(*[F.lit(c) for c in ["one", *INPUTS]])
+    return band_fit(s, d)[0].select("horizon", "quantile", "n", F.explode(F.arrays_zip(terms.alias("term"), F.col("beta").alias("value"))).alias("t")).select("horizon", "quantile", "n", "t.*")
+
+
+def newest_rows(s, d):
+    f = features(s, d).dropna(subset=INPUTS)
+    return f.groupBy("ticker").agg(F.max_by(F.struct(F.col("adj_close").alias("price"), *INPUTS), "date").alias("r")).select("ticker", "r.*")
+
+
+FITTED_BANDS = [
+    PRICE, GATE[0],
+    "gcut as (select date as c from (select date, row_number() over (order by date) - 1 as i, count(*) over () as n from (select distinct date from gl)) where i = floor(n * cast(0.8 as double) + 1e-9))",
+    "gfit as materialized (select gl.* from gl, gcut where date < c)",
+    *quantile_ctes("qm", "gfit", "horizon", INPUTS, FC.QUANTILES, B.STEPS, B.SHRINK, B.NARROWEST),
+    f"qcal as (select horizon, date, ticker, y, list({quantile_sql(INPUTS)} order by q) as v from gl join qm using (horizon) join qm_st using (horizon), gcut where date >= c group by all)",
+    "qsc as (select horizon, greatest(v[1] - y, y - list_max(v)) as s from qcal)",
+    "qrk as (select *, row_number() over (partition by horizon order by s) as k, count(*) over (partition by horizon) as n from qsc)",
+    "qmg as (select horizon, any_value(n) as n_cal, min(s) filter (k >= least(ceil((n + 1) * cast(0.9 as double) - 1e-9) + 1, n)) as margin from qrk group by 1)",
+    "qcv as (select horizon, n_cal, margin, avg(cast(s <= margin as int)) as coverage from qsc join qmg using (horizon) group by all)",
+]
+add_query("band_quantiles_fitted", "horizon:i quantile:2 n:i term value:4", fitted_terms, *FITTED_BANDS,
+          f"out as (select horizon, q as quantile, n, unnest([{', '.join(repr(c) for c in ['one', *INPUTS])}]) as term, unnest(b) as value from qm join qm_st using (horizon))")
+add_query("band_fitted_conformal", "horizon:i n_cal:i margin:4 coverage:4", lambda s, d: band_fit(s, d)[1], *FITTED_BANDS, relation="qcv")
+add_query(
+    "band_fitted_price_bounds", "ticker horizon:i log_price:6 lo:3 q25:3 median:3 q75:3 hi:3",
+    lambda s, d: B.price_bounds(newest_rows(s, d), *band_fit(s, d), INPUTS).withColumn("log_price", F.log("price")), *FITTED_BANDS,
+    f"qnw as (select ticker, unnest(arg_max(struct_pack(price := adj_close, {', '.join(f'{c} := {c}' for c in INPUTS)}), date)) from feat where {_ALL} group by 1)",
+    f"qpv as (select ticker, horizon, price, list({quantile_sql(INPUTS)} order by q) as v from qnw, qm join qm_st using (horizon) group by ticker, horizon, price)",
+    "out as (select ticker, horizon, ln(price) as log_price, v[1] - margin as lo, list_max(v[1:2]) as q25, list_max(v[1:3]) as median, list_max(v[1:4]) as q75, list_max(v) + margin as hi from qpv join qmg using (horizon))",
+)
+
+
 def tilted(s, d):
     """Bands with the median tilted by momentum, so some names lack an edge."""
     return latest_bands(s, d).withColumn("median", F.col("median") + F.col("mom_20d") / 10)

@@ -38,3 +38,43 @@ def ridge_ctes(name: str, source: str, by: Sequence[str], features: Sequence[str
 
 def score_sql(features: Sequence[str], t: int = 0) -> str:
     return f"a_{t} + " + " + ".join(f"{f} * b_{t}[{i + 1}]" for i, f in enumerate(features))
+
+
+def quantile_ctes(name: str, source: str, by: str, features: Sequence[str], quantiles: Sequence[float], steps: int, shrink: float, narrowest: float) -> list[str]:
+    """CTEs that end in ``name``: by, q, b (list, constant first), with ``{name}_st`` holding the means and spreads.
+
+    Every step is written out: a weighted sum of products, then elimination by one pivot per CTE.
+    """
+    k = len(features) + 1
+    stats = ", ".join(f"avg({f}) as m{i}, greatest(stddev_pop({f}), 1e-12) as d{i}" for i, f in enumerate(features))
+    unit = ", ".join(["cast(1 as double)", *[f"({f} - m{i}) / d{i}" for i, f in enumerate(features)]])
+    out = [
+        f"{name}_st as materialized (select {by}, cast(count(*) as double) as n, {stats} from {source} group by {by})",
+        f"{name}_u as materialized (select {by}, cast(y as double) as y, {', '.join(f'x[{i + 1}] as u{i}' for i in range(k))} from (select {by}, y, [{unit}] as x from {source} join {name}_st using ({by})))",
+    ]
+    fit = " + ".join(f"u{i} * b[{i + 1}]" for i in range(k))
+
+    def solved(step: str, rows: str, keys: str) -> None:
+        gram = [f"sum(w * u{i} * u{j}) as g{i}_{j}" for i in range(k) for j in range(i, k)] + [f"sum(w * u{i} * y) as h{i}" for i in range(k)]
+        out.append(f"{step}_m as materialized (select {keys}, {', '.join(gram)} from ({rows}) group by {keys})")
+        line = lambda i: ", ".join([f"g{min(i, j)}_{max(i, j)}" + (" + 1e-9 * g0_0" if i == j else "") for j in range(k)] + [f"h{i}"])
+        out.append(f"{step}_0 as materialized (" + " union all ".join(f"select {keys}, {i + 1} as i, [{line(i)}] as r from {step}_m" for i in range(k)) + ")")
+        same = " and ".join(f"a.{c} = b.{c}" for c in keys.split(", "))
+        for p in range(1, k + 1):
+            move = f"case when a.i = {p} then list_transform(a.r, lambda x: x / a.r[{p}]) else list_transform(a.r, lambda x, c: x - a.r[{p}] / b.r[{p}] * b.r[c]) end"
+            out.append(f"{step}_{p} as materialized (select {', '.join('a.' + c for c in keys.split(', '))}, a.i, {move} as r from {step}_{p - 1} a join {step}_{p - 1} b on {same} and b.i = {p})")
+        out.append(f"{step} as materialized (select {keys}, list(r[{k + 1}] order by i) as b from {step}_{k} group by {keys})")
+
+    solved(f"{name}_p", f"select *, cast(1 as double) as w from {name}_u", by)
+    out.append(f"{name}_sc as materialized (select {by}, avg(abs(y - ({fit}))) as s from {name}_u join {name}_p using ({by}) group by {by})")
+    out.append(f"{name}_i0 as materialized (select {by}, q, b from {name}_p, (select unnest([{', '.join(f'cast({q!r} as double)' for q in quantiles)}]) as q))")
+    for t in range(steps):
+        width = max(shrink**t, narrowest)
+        rows = f"select *, case when e > 0 then q else 1 - q end / greatest(abs(e), s * cast({width!r} as double)) as w from (select u.*, q, s, y - ({fit}) as e from {name}_u u join {name}_i{t} using ({by}) join {name}_sc using ({by}))"
+        solved(f"{name}_i{t + 1}", rows, f"{by}, q")
+    out.append(f"{name} as materialized (select * from {name}_i{steps})")
+    return out
+
+
+def quantile_sql(features: Sequence[str]) -> str:
+    return "b[1] + " + " + ".join(f"b[{i + 2}] * ({f} - m{i}) / d{i}" for i, f in enumerate(features))
