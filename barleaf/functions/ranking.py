@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from barleaf.session import cut
 
 RANGES = 32
-SLOT = 4096
 
 
 def distinct_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), extra: dict[str, Column] | None = None) -> DataFrame:
@@ -32,6 +31,7 @@ def running(counts: DataFrame, value: str, columns: list[str], by: tuple[str, ..
     session's shuffle partitions and at least ``RANGES``.
     """
     ranges = ranges or max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = cut(counts)  # read by the sketch and by both branches below
     sketch = counts.groupBy(*by).agg(
         F.percentile_approx(value, [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges)).alias("_cuts")
     )
@@ -60,25 +60,27 @@ def average_ranks(df: DataFrame, value: str, name: str, by: tuple[str, ...] = ()
     return df.join(ranks, [*by, value])
 
 
-def ordinal_ranks(df: DataFrame, value: str, tie: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rank with ties in ``tie`` order: rows below the value, plus the place
-    among its equals.
+def placed(df: DataFrame, order: list[Column | str], name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """1-based place of every row in ``order`` within its group, groups of any size.
 
-    Equal values are cut into slots that keep the tie order (the first four
-    characters of a text, blocks of 4,096 of a number), so a value held by half
-    the rows is ranked by many tasks: rows in earlier slots plus the place inside.
+    Rows are cut into ranges of (group, order) by sampled borders, numbered
+    inside, and each range adds the rows of its group in earlier ranges.
     """
-    counts = running(distinct_counts(df, value, by), value, ["_n"], by)
-    below = counts.select(*by, value, (F.col("upto__n") - F.col("_n")).alias("_below"))
-    text = dict(df.dtypes)[tie] == "string"
-    slot = F.coalesce(F.substring(tie, 1, 4), F.lit("")) if text else F.coalesce(F.floor(F.col(tie) / SLOT).cast("double"), F.lit(float("-inf")))
-    placed = df.withColumn("_slot", slot)
-    sizes = placed.filter(F.col(value).isNotNull()).groupBy(*by, value, "_slot").agg(F.count("*").alias("_c"))
-    earlier = Window.partitionBy(*by, value).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("_c").over(earlier), F.lit(0))
-    starts = sizes.select(*by, value, "_slot", ahead.alias("_ahead")).join(below, [*by, value]).select(*by, value, "_slot", (F.col("_ahead") + F.col("_below")).alias("_start"))
-    equals = Window.partitionBy(*by, value, "_slot").orderBy(tie)
-    return placed.join(starts, [*by, value, "_slot"]).withColumn(name, F.col("_start") + F.row_number().over(equals)).drop("_start", "_slot")
+    ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lined = df.repartitionByRange(ranges, *by, *order).sortWithinPartitions(*by, *order)
+    # range numbers must be the same in both branches below, so they are written
+    lined = cut(lined.withColumns({"_range": F.spark_partition_id(), "_line": F.monotonically_increasing_id()}))
+    sizes = lined.groupBy(*by, "_range").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_line")
+    return lined.join(offsets, [*by, "_range"]).withColumn(name, F.col("_o") + F.row_number().over(inside)).drop("_range", "_line", "_o")
+
+
+def ordinal_ranks(df: DataFrame, value: str, tie: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rank with ties in ``tie`` order; rows without a value or group are left out."""
+    known = df.dropna(subset=[*by, value])
+    return placed(known, [value, tie], name, by)
 
 
 def order_statistic(df: DataFrame, value: str, position: Column, by: tuple[str, ...] = ()) -> DataFrame:

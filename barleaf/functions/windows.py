@@ -125,3 +125,18 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], skip_null_steps: boo
         df = df.withColumn("_d", F.col("_d") + F.when(reach, F.col("_prev._d") * fade).otherwise(0.0))
         df = df.withColumn(name, F.when(F.col("_d") > 0, F.col("_n") / F.col("_d")))
     return df.drop("_i", "_b", "_j", "_n", "_d", "_close", "_prev")
+
+
+def running_max(df: DataFrame, value: str, name: str, by: tuple[str, ...], order: tuple[str, ...], part: str) -> DataFrame:
+    """Running maximum of ``value`` in two levels: inside parts of the order, and over the parts' maxima.
+
+    ``part`` cuts the order into runs (an hour, a block of ids), so a group of
+    any size is spread over its parts and only one row per part meets its
+    neighbours.
+    """
+    tops = df.groupBy(*by, part).agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*by, part, F.max("_top").over(before).alias("_before"))
+    inside = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.join(carried, [*by, part])
+    return rows.withColumn(name, F.greatest(F.max(value).over(inside), F.col("_before"))).drop("_before")

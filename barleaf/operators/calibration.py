@@ -284,13 +284,20 @@ def record(existing: DataFrame | None, records: DataFrame, source: str) -> DataF
     return rows.drop("_t")
 
 
+#: What tells one prediction from another; the short id is a label that two may share.
+LEDGER_KEY = ["ticker", "as_of", "horizon_days", "source"]
+
+
 def resolve(predictions: DataFrame, prices: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Score predictions at the h-th bar after their own as-of bar.
 
     The as-of bar comes from one running carry over bars stacked with the
     predictions' dates, the terminal bar from an equi-join on the bar number.
     """
-    todo = predictions.join(done.select(F.col("prediction_id").alias("id")), "id", "left_anti") if done is not None else predictions
+    todo = predictions
+    if done is not None:
+        on_file = done.select(F.upper("ticker").alias("_t"), *LEDGER_KEY[1:])
+        todo = predictions.withColumn("_t", F.upper("ticker")).join(on_file, ["_t", *LEDGER_KEY[1:]], "left_anti").drop("_t")
     numbered = prices.filter("adj_close is not null").select(
         "ticker", "date", "adj_close", F.row_number().over(Window.partitionBy("ticker").orderBy("date")).alias("no")
     )
@@ -304,12 +311,17 @@ def resolve(predictions: DataFrame, prices: DataFrame, done: DataFrame | None =
     due = todo.join(entry, ["ticker", "as_of"]).withColumn("no", F.col("no") + F.col("horizon_days"))
     bars = numbered.select("ticker", "no", F.col("date").alias("matured_on"), F.col("adj_close").alias("terminal_price"))
     df = due.join(bars, ["ticker", "no"])
+    return outcome(df)
+
+
+def outcome(df: DataFrame) -> DataFrame:
+    """Scores of matured predictions with ``matured_on``, ``terminal_price`` and ``asof_price``."""
     start = F.coalesce("entry_price", "asof_price")
     realized = F.col("terminal_price") / start - 1
     forecast = F.col("band_median") / start - 1
     up = F.coalesce(forecast >= 0, F.lit(True))
     return df.select(
-        F.col("id").alias("prediction_id"), "matured_on", "terminal_price",
+        F.col("id").alias("prediction_id"), *LEDGER_KEY, "matured_on", "terminal_price",
         realized.alias("realized_return"), forecast.alias("forecast_return"),
         ((realized > 0) == up).alias("hit"),
         F.col("terminal_price").between(F.col("band_lo"), F.col("band_hi")).alias("in_band"),
@@ -317,7 +329,11 @@ def resolve(predictions: DataFrame, prices: DataFrame, done: DataFrame | None =
 
 
 def ledger(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
-    return predictions.join(resolutions.withColumnRenamed("prediction_id", "id"), "id", "left")
+    return predictions.join(resolutions.drop("prediction_id"), LEDGER_KEY, "left")
+
+
+def pending(predictions: DataFrame, resolutions: DataFrame) -> DataFrame:
+    return predictions.join(resolutions.select(*LEDGER_KEY), LEDGER_KEY, "left_anti")
 
 
 def calibration_report(book: DataFrame) -> DataFrame:

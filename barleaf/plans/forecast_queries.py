@@ -155,15 +155,15 @@ def recorded(s, d):
 
 LEDGER = [
     PRICE,
-    "rec0 as (select ticker, date + 2 as as_of, h as horizon_days, case when volume % 2 = 0 then adj_close end as entry_price, adj_close * 0.5 as band_lo, case when volume % 3 <> 0 then adj_close * (1 + mom_20d / 10) end as band_median, adj_close * 2 as band_hi, mom_20d as conviction from feat, (select unnest([5, 21]) as h) where mom_20d is not null and vol_20d is not null)",
+    "rec0 as materialized (select ticker, date + 2 as as_of, h as horizon_days, case when volume % 2 = 0 then adj_close end as entry_price, adj_close * 0.5 as band_lo, case when volume % 3 <> 0 then adj_close * (1 + mom_20d / 10) end as band_median, adj_close * 2 as band_hi, mom_20d as conviction from feat, (select unnest([5, 21]) as h) where mom_20d is not null and vol_20d is not null)",
     "rec as (select *, 'rules' as source, substring(sha1(upper(ticker) || '|' || cast(as_of as varchar) || '|' || horizon_days || '|rules'), 1, 12) as id from rec0)",
 ]
 add_query("ledger_record", "id ticker as_of:d horizon_days:i conviction:6", lambda s, d: C.record(recorded(s, d).filter("horizon_days = 5 and as_of < date'1997-01-01'"), records(s, d), "rules"), *LEDGER,
           "out as (select * from rec where not (horizon_days = 5 and as_of < date '1997-01-01'))")
 RESOLVED = [
     *LEDGER, "nb as (select ticker, date, adj_close, row_number() over (partition by ticker order by date) as no from panel)",
-    "asf as (select r.id, max(n.no) as no, arg_max(n.adj_close, n.no) as px from rec r join nb n on n.ticker = r.ticker and n.date <= r.as_of group by 1)",
-    """res as (select r.*, r.id as prediction_id, n.date as matured_on, n.adj_close as terminal_price, n.adj_close / coalesce(entry_price, px) - 1 as realized_return, band_median / coalesce(entry_price, px) - 1 as forecast_return,
+    "asf as materialized (select r.id, n.no, n.adj_close as px from rec r asof join nb n on n.ticker = r.ticker and r.as_of >= n.date)",
+    """res as materialized (select r.*, r.id as prediction_id, n.date as matured_on, n.adj_close as terminal_price, n.adj_close / coalesce(entry_price, px) - 1 as realized_return, band_median / coalesce(entry_price, px) - 1 as forecast_return,
         n.adj_close between band_lo and band_hi as in_band from rec r join asf using (id) join nb n on n.ticker = r.ticker and n.no = asf.no + r.horizon_days)""",
     "resolved as (select *, (realized_return > 0) = coalesce(forecast_return >= 0, true) as hit from res)",
 ]
@@ -176,8 +176,8 @@ def resolutions(s, d):
 add_query("ledger_resolve", "prediction_id matured_on:d terminal_price realized_return:6 forecast_return:6 hit in_band", resolutions, *RESOLVED, relation="resolved")
 add_query("ledger_view", "id ticker horizon_days:i realized_return:6 hit", lambda s, d: C.ledger(recorded(s, d), resolutions(s, d)), *RESOLVED,
           "out as (select rec.id, rec.ticker, rec.horizon_days, realized_return, hit from rec left join resolved r on r.id = rec.id)")
-add_query("ledger_pending", "id ticker horizon_days:i", lambda s, d: recorded(s, d).join(resolutions(s, d).selectExpr("prediction_id as id"), "id", "left_anti"), *RESOLVED,
-          "out as (select id, ticker, horizon_days from rec where id not in (select id from resolved))")
+add_query("ledger_pending", "id ticker horizon_days:i", lambda s, d: C.pending(recorded(s, d), resolutions(s, d)), *RESOLVED,
+          "out as (select id, ticker, horizon_days from rec anti join resolved using (ticker, as_of, horizon_days, source))")
 add_query(
     "ledger_calibration", "source horizon_days:i n:i hit_rate:9 band_coverage:9 avg_realized:6 avg_forecast:6 conviction_ic:9", lambda s, d: C.calibration_report(C.ledger(recorded(s, d), resolutions(s, d))), *RESOLVED,
     "rr as (select *, row_number() over (partition by source, horizon_days order by conviction, id) as a, row_number() over (partition by source, horizon_days order by realized_return, id) as b from resolved)",
