@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -97,23 +99,86 @@ def cluster_parity(f: DataFrame, every: int = 63, window: int = 252, n: int = 20
     return K.rebalance(df.filter("weight > 0").select("date", "ticker", "weight"), f, every)
 
 
+# -- seeded random numbers ------------------------------------------------------
+
+
+def uniform(*key) -> Column:
+    """A number in [0, 1) that follows the key alone: 52 bits of its MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 13), 16, 10).cast("long").cast("double") / float(2**52)
+
+
+def choice(n: Column, *key) -> Column:
+    """A whole number under ``n`` from other bits of the same hash."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 14, 8), 16, 10).cast("long") % n
+
+
+def beta_draw(a: Column, b: Column, *key) -> Column:
+    """A draw from Beta(a, b) for whole a and b: of a + b - 1 uniform numbers the a-th smallest."""
+    numbers = F.transform(F.sequence(F.lit(1), (a + b - 1).cast("int")), lambda j: uniform(*key, j.cast("string")))
+    return F.get(F.array_sort(numbers), (a - 1).cast("int"))
+
+
+# -- isolation forests ------------------------------------------------------------
+
+TREES, SAMPLE, SEED = 100, 256, 42
+
+
+def mean_path(n: Column) -> Column:
+    """Expected path length of an unsuccessful search among ``n`` random keys."""
+    m = n.cast("double")
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(F.greatest(m - 1, F.lit(1.0))) + 0.5772156649015329) - 2 * (m - 1) / m)
+
+
+def isolation_scores(rows: DataFrame, columns: list[str], by: str = "date", name: str = "ticker", trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(by, name, score) of an isolation forest per group; the lower, the easier to isolate.
+
+    Every tree takes up to ``sample`` names of its group.  A node splits on one
+    of the columns that vary in it, at a uniform place in the range of its
+    sample, and the trees of all groups grow level by level: a level is a
+    minimum and a maximum per node.  Rows are laid out by (group, tree) once;
+    a row keeps its node and, when it reaches a leaf, its path.  All random
+    numbers follow (seed, group, tree, node).
+    """
+    spread = rows.select(by, name, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(n, by, "tree")
+    group = Window.partitionBy(by, "tree")
+    order = group.orderBy(uniform(F.lit(f"{seed}"), F.col(by).cast("string"), F.col("tree").cast("string"), F.col(name)), name)
+    df = spread.withColumns({"_in": F.row_number().over(order) <= sample, "_psi": F.least(F.count("*").over(group), F.lit(sample))})
+    df = df.withColumns({"_node": F.lit(1).cast("long"), "_path": F.lit(None).cast("double")})
+    node = Window.partitionBy(by, "tree", "_node")
+    deepest = F.ceil(F.log2(F.greatest("_psi", F.lit(2)).cast("double")) - 1e-9)
+    for depth in range(math.ceil(math.log2(sample)) + 1):
+        mine = [F.when(F.col("_in"), F.get("x", F.lit(j))) for j in range(len(columns))]
+        ranges = F.array(*[F.struct(F.lit(j).alias("j"), F.min(c).over(node).alias("lo"), F.max(c).over(node).alias("hi")) for j, c in enumerate(mine)])
+        df = df.withColumns({"_ranges": ranges, "_size": F.count(F.when(F.col("_in"), 1)).over(node)})
+        df = df.withColumn("_live", F.filter("_ranges", lambda r: r["hi"] > r["lo"])).drop("_ranges")
+        leaf = (F.col("_size") <= 1) | (F.lit(depth) >= deepest) | (F.size("_live") == 0)
+        df = df.withColumn("_path", F.coalesce("_path", F.when(leaf, F.lit(float(depth)) + mean_path(F.col("_size")))))
+        key = F.lit(f"{seed}"), F.col(by).cast("string"), F.col("tree").cast("string"), F.col("_node").cast("string")
+        pick = F.get("_live", choice(F.greatest(F.size("_live"), F.lit(1)), *key).cast("int"))
+        df = df.withColumn("_pick", pick)
+        at = F.col("_pick.lo") + uniform(*key) * (F.col("_pick.hi") - F.col("_pick.lo"))
+        right = (F.get("x", F.col("_pick.j")) > at).cast("long")
+        # a row that has its path stays in its node and no longer matters
+        df = df.withColumn("_node", F.when(F.col("_path").isNull(), 2 * F.col("_node") + right).otherwise(F.col("_node"))).drop("_live", "_size", "_pick")
+    paths = df.groupBy(by, name).agg(F.avg("_path").alias("_mean"), F.first("_psi").alias("_psi"))
+    return paths.select(by, name, F.round(-F.pow(F.lit(2.0), -F.col("_mean") / F.greatest(mean_path(F.col("_psi")), F.lit(1e-12))), 10).alias("score"))
+
+
 def normal_names(f: DataFrame, every: int = 21, k: int = 8, contamination: float = 0.1) -> DataFrame:
-    """Momentum leaders among names whose features lie near the date's centre.
+    """Momentum leaders among names that an isolation forest finds normal.
 
-    Distance is the sum of squared deviations from the median in units of the
-    median absolute deviation; the most distant tenth of a date is left out.
+    A name whose score is under the date's ``contamination`` quantile is left out.
     """
     columns = "mom_20d vol_20d rsi_14 rel_vol_20 sma_gap_50 dd_from_high_60".split()
     rows = f.select("date", "ticker", *columns).dropna()
     kept = K.kept_dates(rows, every).select("date")
     day = Window.partitionBy("date")
     df = rows.join(kept, "date", "left_semi").withColumn("_n", F.count("*").over(day)).filter("_n >= 10")
-    df = df.select("*", *[F.abs(F.col(c) - F.percentile(c, F.lit(0.5)).over(day)).alias(f"d_{c}") for c in columns])
-    scale = {c: F.col(f"d_{c}") / (1.4826 * F.percentile(f"d_{c}", F.lit(0.5)).over(day) + 1e-9) for c in columns}
-    df = df.select("date", "ticker", "mom_20d", "_n", *[z.alias(f"z_{c}") for c, z in scale.items()])
-    far = sum(F.pow(F.col(f"z_{c}"), 2) for c in columns)
-    df = df.withColumn("_far", far).withColumn("_place", F.row_number().over(day.orderBy("_far", "ticker")))
-    df = df.filter(F.col("_place") <= F.col("_n") - F.floor(F.col("_n") * contamination))
+    scores = isolation_scores(df, columns)
+    scores = scores.withColumn("_limit", F.percentile("score", F.lit(contamination)).over(day)).filter(F.col("score") >= F.col("_limit") - 1e-9)
+    df = df.join(scores.select("date", "ticker"), ["date", "ticker"])
     df = df.withColumn("_r", K.rank_in_date("mom_20d")).filter(F.col("_r") <= k)
     signal = df.select("date", "ticker", (1.0 / F.count("*").over(day)).alias("weight"))
     return K.rebalance(signal, f, every)
@@ -124,11 +189,11 @@ def quintile(c: str, n: Column, buckets: int) -> Column:
     return F.least(F.floor(place / n * buckets), F.lit(buckets - 1)).cast("int")
 
 
-def bandit(f: DataFrame, every: int = 5, buckets: int = 5, k: int = 8) -> DataFrame:
-    """Momentum quintile with the best posterior mean of past day signs.
+def bandit(f: DataFrame, every: int = 5, buckets: int = 5, k: int = 8, seed: int = SEED) -> DataFrame:
+    """Momentum quintile with the best draw from its posterior of past day signs.
 
     The counts never depend on the choice, so they are running sums over
-    rebalance dates; the posterior mean stands in for a random draw.
+    rebalance dates; a quintile's draw follows (seed, date number, quintile).
     """
     dates = numbered(f)
     rows = f.select("date", "ticker", "mom_20d", "ret_1d").join(dates, "date")
@@ -142,7 +207,8 @@ def bandit(f: DataFrame, every: int = 5, buckets: int = 5, k: int = 8) -> DataFr
     state = asked.join(signs, ["i", "bucket"], "left").select(
         "i", "bucket", F.coalesce(F.sum("won").over(before), F.lit(0)).alias("a"), F.coalesce(F.count("won").over(before), F.lit(0)).alias("n")
     )
-    best = state.groupBy("i").agg(F.max_by("bucket", F.struct((1 + F.col("a")) / (2 + F.col("n")), -F.col("bucket"))).alias("bucket"))
+    draw = beta_draw(1 + F.col("a"), 1 + F.col("n") - F.col("a"), F.lit(f"{seed}"), F.col("i").cast("string"), F.col("bucket").cast("string"))
+    best = state.withColumn("draw", draw).groupBy("i").agg(F.max_by("bucket", F.struct("draw", -F.col("bucket"))).alias("bucket"))
     top = day.join(best, ["i", "bucket"]).withColumn("_r", K.rank_in_date("mom_20d")).filter(F.col("_r") <= k)
     signal = top.select("date", "ticker", (1.0 / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
     return K.rebalance(signal, f, every)

@@ -43,12 +43,36 @@ SQL["hrp"] = [
     "sig as (select adate as date, ticker, w / sum(w) over (partition by a) as weight from wt where m <= 20)", rebalance(63),
 ]
 _SIX = "mom_20d vol_20d rsi_14 rel_vol_20 sma_gap_50 dd_from_high_60".split()
+_U = "cast(cast('0x' || substr({h}, 1, 13) as bigint) as double) / 4503599627370496"
+
+
+def _isolation_levels(levels: int) -> list[str]:
+    """Trees grown level by level: the ranges of a node, then the step of every row."""
+    out = [
+        "it0 as materialized (select d.date, d.ticker, " + ", ".join(f"cast({c} as double) as x{j}" for j, c in enumerate(_SIX)) + ", tree, least(n, 256) as psi, cast(1 as bigint) as node, cast(null as double) as path, "
+        f"row_number() over (partition by d.date, tree order by {_U.format(h=f"md5('42|' || d.date || '|' || tree || '|' || d.ticker)")}, d.ticker) <= 256 as inn from d0 d, range(0, 100) t(tree))",
+    ]
+    for depth in range(levels):
+        w = "(partition by date, tree, node)"
+        ranges = ", ".join(f"struct_pack(x := x{j}, lo := min(x{j}) filter (inn) over {w}, hi := max(x{j}) filter (inn) over {w})" for j in range(len(_SIX)))
+        out.append(f"ir{depth} as (select *, list_filter([{ranges}], lambda r: r.hi > r.lo) as live, count(*) filter (inn) over {w} as size, md5('42|' || date || '|' || tree || '|' || node) as h from it{depth})")
+        mean = "case when size <= 1 then 0 when size = 2 then 1 else 2 * (ln(greatest(size - 1, 1)) + 0.5772156649015329) - 2 * (size - 1) / cast(size as double) end"
+        leaf = f"size <= 1 or {depth} >= ceil(log2(greatest(psi, 2)) - 1e-9) or len(live) = 0"
+        out.append(f"ip{depth} as (select *, coalesce(path, case when {leaf} then {depth} + {mean} end) as path2, live[cast('0x' || substr(h, 14, 8) as bigint) % greatest(len(live), 1) + 1] as pk from ir{depth})")
+        step = f"case when path2 is null then 2 * node + cast(pk.x > pk.lo + {_U.format(h='h')} * (pk.hi - pk.lo) as bigint) else node end"
+        xs = ", ".join(f"x{j}" for j in range(len(_SIX)))
+        out.append(f"it{depth + 1} as materialized (select date, ticker, {xs}, tree, psi, {step} as node, path2 as path, inn from ip{depth})")
+    return out
+
+
 SQL["anomaly_detection"] = [
     f"cr as (select date, ticker, {', '.join(_SIX)} from feat where {' and '.join(c + ' is not null' for c in _SIX)})",
     "k0 as (select date from (select date, row_number() over (order by date) - 1 as i from (select distinct date from cr)) where i % 21 = 0)",
-    "d0 as (select cr.*, count(*) over (partition by date) as n, " + ", ".join(f"abs({c} - median({c}) over (partition by date)) as d_{c}" for c in _SIX) + " from cr semi join k0 on k0.date = cr.date)",
-    "z0 as (select *, " + " + ".join(f"pow(d_{c} / (1.4826 * median(d_{c}) over (partition by date) + 1e-9), 2)" for c in _SIX) + " as far from d0 where n >= 10)",
-    "nm as (select * from (select *, row_number() over (partition by date order by far, ticker) as pl from z0) where pl <= n - floor(n * cast(0.1 as double)))",
+    "d0 as materialized (select * from (select cr.*, count(*) over (partition by date) as n from cr semi join k0 on k0.date = cr.date) where n >= 10)",
+    *_isolation_levels(9),
+    "ie as (select date, ticker, avg(path) as e, any_value(psi) as size from it9 group by 1, 2)",
+    "isc as (select date, ticker, round(-pow(2.0, -e / greatest(case when size <= 1 then 0 when size = 2 then 1 else 2 * (ln(size - 1) + 0.5772156649015329) - 2 * (size - 1) / cast(size as double) end, 1e-12)), 10) as score from ie)",
+    "nm as (select d0.* from d0 join (select *, quantile_cont(score, 0.1) over (partition by date) as lim from isc) s using (date, ticker) where score >= lim - 1e-9)",
     "tp as (select * from (select *, row_number() over (partition by date order by mom_20d desc, ticker) as r from nm) where r <= 8)",
     "sig as (select date, ticker, cast(1 as double) / count(*) over (partition by date) as weight from tp)", rebalance(21),
 ]
@@ -60,7 +84,8 @@ SQL["thompson_sampling_rl"] = [
     f"pd as (select *, case when mom_20d is not null then {_QUINT} end as bucket from pd0 where (i + 1) % 5 = 0)",
     "sg as (select i + 1 as i, bucket, cast(avg(ret_1d) > 0 as int) as won from pd where bucket is not null group by 1, 2)",
     "aq as (select i, b as bucket from (select distinct i from dy), range(0, 5) r(b))",
-    "stt as (select a.i, a.bucket, (1 + count(*) filter (s.won = 1)) / cast(2 + count(s.won) as double) as m from aq a left join sg s on s.bucket = a.bucket and s.i < a.i and s.i in (select i from aq) group by 1, 2)",
+    "st0 as (select a.i, a.bucket, count(*) filter (s.won = 1) as wins, count(s.won) as seen from aq a left join sg s on s.bucket = a.bucket and s.i < a.i and s.i in (select i from aq) group by 1, 2)",
+    f"stt as (select *, list_sort(list_transform(range(1, seen + 2), lambda j: {_U.format(h="md5('42|' || i || '|' || bucket || '|' || j)")}))[wins + 1] as m from st0)",
     "bs as (select i, bucket from (select *, row_number() over (partition by i order by m desc, bucket) as r from stt) where r = 1)",
     "tp as (select * from (select dy.*, row_number() over (partition by date order by mom_20d desc, ticker) as r from dy join bs using (i, bucket)) where r <= 8)",
     "sig as (select date, ticker, cast(1 as double) / count(*) over (partition by date) as weight from tp)", rebalance(5),
