@@ -53,6 +53,23 @@ def running(counts: DataFrame, value: str, columns: list[str], by: tuple[str, ..
     )
 
 
+def running_in_ranges(counts: DataFrame, value: str, columns: list[str], by: tuple[str, ...]) -> DataFrame:
+    """``running`` for many groups at once: one range partitioning of (group, value) serves all.
+
+    Groups of any size share the ranges; each (group, range) adds what its group
+    has in earlier ranges.
+    """
+    ranges = max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lined = counts.repartitionByRange(ranges, *by, value).sortWithinPartitions(*by, value)
+    lined = cut(lined.withColumn("_range", F.spark_partition_id()))
+    totals = lined.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in columns])
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = lined.join(offsets, [*by, "_range"])
+    return placed.select(*counts.columns, *[(F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"upto_{c}") for c in columns])
+
+
 def average_ranks(df: DataFrame, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Tie-averaged rank of ``value`` inside each group, joined back by value."""
     counts = running(distinct_counts(df, value, by), value, ["_n"], by)

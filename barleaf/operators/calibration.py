@@ -9,8 +9,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barleaf.functions.ranking import distinct_counts, ordinal_ranks, running, spearman
+from barleaf.functions.ranking import distinct_counts, ordinal_ranks, running_in_ranges, spearman
 from barleaf.operators import evaluate as V
+from barleaf.session import cut
 
 # -- splits: tables of one row per date ---------------------------------------
 
@@ -184,13 +185,15 @@ def drift(reference: DataFrame, current: DataFrame, columns: list[str], limit: f
     """Two-sample Kolmogorov-Smirnov distance per column, asymptotic p-value.
 
     Both samples are melted, combined per distinct value before any shuffle of
-    rows, and ranked in value ranges, so one column never fills one task.
+    rows, and all columns are ranked in one set of ranges of (column, value), so
+    any number of columns costs one exchange and none fills a task.
     """
     a = reference.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value").withColumn("ref", F.lit(1))
     b = current.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value").withColumn("ref", F.lit(0))
     both = a.unionByName(b)
     counts = distinct_counts(both, "value", ("feature",), {"_a": F.sum("ref"), "_b": F.sum(1 - F.col("ref"))})
-    steps = running(counts, "value", ["_a", "_b"], ("feature",))
+    counts = cut(counts)
+    steps = running_in_ranges(counts, "value", ["_a", "_b"], ("feature",))
     sizes = counts.groupBy("feature").agg(F.sum("_a").alias("ref_n"), F.sum("_b").alias("cur_n")).filter((F.col("ref_n") >= least) & (F.col("cur_n") >= least))
     gap = F.abs(F.col("upto__a") / F.col("ref_n") - F.col("upto__b") / F.col("cur_n"))
     out = steps.join(sizes, "feature").groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.first("ref_n").alias("ref_n"), F.first("cur_n").alias("cur_n"))

@@ -15,6 +15,8 @@ from barleaf.session import cut
 FRONT = 64
 #: Parts in which a group's earliest members are looked for.
 PARTS = 64
+#: Documents of a term that meet its weight in one task.
+CELL = 4096
 
 
 def content_key(text: Column) -> Column:
@@ -117,27 +119,27 @@ def tfidf_search(docs: DataFrame, query: str, k: int = 6, as_of: Column | None =
     """Top-k documents per ticker by TF-IDF cosine with the query, using only
     what was known at ``as_of``.  The query counts as one more document.
 
-    ``docs``: ticker, id, known_at, text.  Everything is sums by (ticker, term)
-    and (ticker, document); only the k best rows per ticker are ranked, and the
-    plan limits them before the shuffle.
+    ``docs``: ticker, id, known_at, text.  The texts are read once, into counts by
+    (ticker, document, term).  A term that more than ``CELL`` documents hold is
+    dealt into cells before it meets its weight, so no task sees all its
+    documents; a document's length is a sum of what its cells return.  Only the
+    query's terms take part in the product.
     """
     known = docs.filter(F.col("known_at") <= as_of) if as_of is not None else docs
     stop = stop or []
-    tf = explode_grams(known, F.col("text"), stop, ["ticker", "id"]).groupBy("ticker", "id", "term").agg(F.count("*").alias("tf"))
-    ask = docs.sparkSession.range(1)
-    asked = explode_grams(ask, F.lit(query), stop, []).groupBy("term").agg(F.count("*").alias("qf"))
+    tf = cut(explode_grams(known, F.col("text"), stop, ["ticker", "id"]).groupBy("ticker", "id", "term").agg(F.count("*").alias("tf")))
     n = known.groupBy("ticker").agg((F.count_distinct("id") + 1).alias("n"))
-    df = tf.groupBy("ticker", "term").agg(F.count("*").alias("df"))
-    df = df.join(asked, "term", "left").join(n, "ticker")
-    seen = F.col("df") + F.when(F.col("qf").isNotNull(), 1).otherwise(0)
-    df = df.select("ticker", "term", "qf", (F.log((1 + F.col("n")) / (1 + seen)) + 1).alias("idf"))
-    # query terms no document of the ticker holds still lengthen the query
-    wanted = explode_grams(n, F.lit(query), stop, ["ticker", "n"]).groupBy("ticker", "n", "term").agg(F.count("*").alias("qf"))
-    unseen = wanted.join(df.select("ticker", "term"), ["ticker", "term"], "left_anti")
-    unseen = unseen.select("ticker", F.pow(F.col("qf") * (F.log((1 + F.col("n")) / 2.0) + 1), 2).alias("_q2"))
-    seen_q = df.filter("qf is not null").select("ticker", F.pow(F.col("qf") * F.col("idf"), 2).alias("_q2"))
-    length = seen_q.unionByName(unseen).groupBy("ticker").agg(F.sqrt(F.sum("_q2")).alias("_q"))
-    weighted = tf.join(df, ["ticker", "term"])
+    # every ticker's query terms, seen or not: an unseen one still lengthens the query
+    wanted = explode_grams(n, F.lit(query), stop, ["ticker"]).groupBy("ticker", "term").agg(F.count("*").alias("qf"))
+    held = tf.groupBy("ticker", "term").agg(F.count("*").alias("df"))
+    terms = held.join(wanted, ["ticker", "term"], "full").join(n, "ticker")
+    seen = F.coalesce("df", F.lit(0)) + F.when(F.col("qf").isNotNull(), 1).otherwise(0)
+    terms = cut(terms.select("ticker", "term", "qf", "df", (F.log((1 + F.col("n")) / (1 + seen)) + 1).alias("idf"), F.ceil(F.col("df") / CELL).cast("int").alias("_cells")))
+    length = terms.filter("qf is not null").groupBy("ticker").agg(F.sqrt(F.sum(F.pow(F.col("qf") * F.col("idf"), 2))).alias("_q"))
+    large = terms.filter("_cells > 1").select("ticker", "term", "_cells")
+    dealt = tf.join(large, ["ticker", "term"], "left").withColumn("_cell", F.pmod(F.xxhash64("id"), F.coalesce("_cells", F.lit(1))).cast("int")).drop("_cells")
+    weights = terms.filter("df is not null").withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).select("ticker", "term", "_cell", "idf", "qf")
+    weighted = dealt.join(weights, ["ticker", "term", "_cell"])
     scores = weighted.groupBy("ticker", "id").agg(
         F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("_d"),
         F.sum(F.coalesce(F.col("tf") * F.col("idf") * F.col("qf") * F.col("idf"), F.lit(0.0))).alias("_dot"),

@@ -150,7 +150,8 @@ add_query("size_gross_exposure", "date:d gross:9", lambda s, d: mom(s, d).groupB
 add_query(
     "size_kill_switch", "date:d ticker weight:9",
     lambda s, d: Z.kill_switch(weights_of("min_vol_portfolio")(s, d), V.daily_results(T.panel(s, d), weights_of("min_vol_portfolio")(s, d)), 0.3),
-    PRICE, *SQL["min_vol_portfolio"], daily_sql(), "ks as (select o.date, o.ticker, case when o.date >= (select min(date) from dd where drawdown < -0.3) then 0 else o.weight end as weight from out o)", relation="ks",
+    PRICE, *SQL["min_vol_portfolio"], daily_sql(), "off as materialized (select min(date) as at from dd where drawdown < -0.3)",
+    "ks as (select o.date, o.ticker, case when o.date >= off.at then 0 else o.weight end as weight from out o, off)", relation="ks",
 )
 
 
@@ -216,17 +217,17 @@ def last_prices(s, d):
 
 
 def holdings(s, d):
-    lots = blotter_frame(s, d).filter("side = 'BUY' and qty < 20")
+    lots = blotter_frame(s, d).filter("side = 'BUY'")
     return lots.groupBy("ticker").agg(F.sum("qty").alias("qty"), F.max("price").alias("last_price"))
 
 
 HOLD = [BARS, BLOTTER, "lastp as (select ticker, arg_max(adj_close, date) as price from panel group by 1)",
-        "hold as (select ticker, sum(qty) as qty, max(price) as last_price from blotter where side = 'BUY' and qty < 20 group by 1)"]
+        "hold as (select ticker, sum(qty) as qty, max(price) as last_price from blotter where side = 'BUY' group by 1)"]
 add_query(
     "size_orders", "ticker qty:4 side notional:3",
-    lambda s, d: Z.to_orders(D.latest_cross_section(mom(s, d)).filter("weight > 0"), holdings(s, d).filter("qty % 2 = 0"), last_prices(s, d), F.lit(1e6)), *_MOMW, *[h for h in HOLD if h is not BARS],
+    lambda s, d: Z.to_orders(D.latest_cross_section(mom(s, d)).filter("weight > 0"), holdings(s, d), last_prices(s, d), F.lit(1e6)), *_MOMW, *[h for h in HOLD if h is not BARS],
     "tgt as (select ticker, weight from out where date = (select max(date) from out) and weight > 0)",
-    "dl as (select coalesce(t.ticker, h.ticker) as ticker, coalesce(weight, 0) * 1e6 / price - coalesce(qty, 0) as qty, price from tgt t full join (select * from hold where qty % 2 = 0) h on t.ticker = h.ticker join lastp p on p.ticker = coalesce(t.ticker, h.ticker))",
+    "dl as (select coalesce(t.ticker, h.ticker) as ticker, coalesce(weight, 0) * 1e6 / price - coalesce(qty, 0) as qty, price from tgt t full join hold h on t.ticker = h.ticker join lastp p on p.ticker = coalesce(t.ticker, h.ticker))",
     "ord as (select ticker, qty, case when qty > 0 then 'buy' else 'sell' end as side, abs(qty * price) as notional from dl where abs(qty * price) >= 1)", relation="ord",
 )
 
@@ -369,11 +370,12 @@ def overrides(s, d):
     flag = F.element_at(F.array(*[F.lit(f) for f in R.FLAGS]), F.col("n_nationkey") % 5 + 1)
     colour = F.element_at(F.array(F.lit("green"), F.lit("Red"), F.lit("purple")), F.col("n_regionkey") % 3 + 1)
     day = F.date_add(F.lit("2023-12-01").cast("date"), F.col("n_nationkey"))
-    return n.filter("n_nationkey < 5").select(flag.alias("flag"), colour.alias("color"), day.alias("as_of"))
+    told = n.select(flag.alias("flag"), colour.alias("color"), day.alias("as_of"))
+    return told.groupBy("flag").agg(F.max_by("color", "as_of").alias("color"), F.max("as_of").alias("as_of"))
 
 
 add_query("flags_overrides", "snapshot_at:d flag color source stale", lambda s, d: R.apply_overrides(daily_readings(s, d), overrides(s, d), F.lit("2024-01-18").cast("date")), SERIES, READ,
-          "ov as (select ['O', 'F', 'I', 'C', 'S'][n_nationkey % 5 + 1] as flag, ['GREEN', 'RED', 'PURPLE'][n_regionkey % 3 + 1] as forced, date '2023-12-01' + n_nationkey as as_of from nation where n_nationkey < 5)",
+          "ov as (select ['O', 'F', 'I', 'C', 'S'][n_nationkey % 5 + 1] as flag, arg_max(['GREEN', 'RED', 'PURPLE'][n_regionkey % 3 + 1], n_nationkey) as forced, date '2023-12-01' + max(n_nationkey) as as_of from nation group by 1)",
           """out as (select snapshot_at, flag, coalesce(forced, color) as color, case when forced is not null then 'override' else 'live' end as source,
               coalesce(date '2024-01-18' - as_of > 45, false) as stale from rdg left join (select * from ov where forced <> 'PURPLE') ov using (flag))""")
 

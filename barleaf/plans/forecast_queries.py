@@ -10,7 +10,7 @@ from barleaf.operators import forecast as FC
 from barleaf.operators import gate as G
 from barleaf.plans.basesql import PRICE
 from barleaf.plans.decision_queries import last_prices, name_lists
-from barleaf.plans.price_queries import features
+from barleaf.plans.price_queries import FAMILIES, features
 from barleaf.plans.registry import add_query
 from barleaf.plans.ridge_sql import quantile_ctes, quantile_sql, ridge_ctes, score_sql
 from barleaf.session import staged
@@ -119,13 +119,17 @@ add_query("metric_compare_models", "model ic:8 mae:6 r2:6 weight:8", lambda s, d
           "out as (select model, ic_mean as ic, mae, r2, case when sum(greatest(ic_mean, 0)) over () > 0 then greatest(ic_mean, 0) / sum(greatest(ic_mean, 0)) over () else 1.0 / count(*) over () end as weight from agg)")
 
 
+#: Every input of the feature table.
+DRIFTED = ["volume", *[c.split(":")[0] for family, names in FAMILIES.items() if family != "targets" for c in names.split()], *[f"sma_gap_{n}" for n in (10, 20, 50, 200)]]
+
+
 def drifted(s, d):
     f = features(s, d)
-    cols = ["mom_20d", "vol_20d", "rsi_14", "volume"]
-    return C.drift(f.filter("date < date'1998-01-01'").select(*cols), f.filter("date >= date'1998-01-01'").select(*cols), cols)
+    early = F.col("date") < F.lit("1998-01-01").cast("date")
+    return C.drift(f.filter(early).select(*DRIFTED), f.filter(~early).select(*DRIFTED), DRIFTED)
 
 
-_MELT = " union all ".join(f"select '{c}' as feature, cast({c} as double) as v, cast(date < date '1998-01-01' as int) as a from feat where {c} is not null" for c in ("mom_20d", "vol_20d", "rsi_14", "volume"))
+_MELT = " union all ".join(f"select '{c}' as feature, cast({c} as double) as v, cast(date < date '1998-01-01' as int) as a from feat where {c} is not null" for c in DRIFTED)
 add_query(
     "metric_drift", "feature ks_stat:9 ref_n:i cur_n:i p_value:8 drift", drifted, PRICE, f"ml as ({_MELT})",
     "nn as (select feature, sum(a) as ref_n, sum(1 - a) as cur_n from ml group by 1)",

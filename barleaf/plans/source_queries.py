@@ -40,11 +40,15 @@ def table_append(s, d):
     orders = T.table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     path, name = S.fresh_path(s, "order-table"), "order_table_" + S.fresh_path(s, "x")[-12:]
     S.write_table(orders.filter("o_orderstatus = 'F'"), name, "replace", path)
-    S.write_table(orders.filter("o_orderstatus = 'O'"), name, "append")
+    S.write_table(orders.filter("o_orderstatus <> 'F'"), name, "append")
     return s.table(name)
 
 
-add_query("io_table_replace_append", "o_orderkey:i o_totalprice:2 o_orderstatus", table_append, "out as (select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus in ('F', 'O'))")
+add_query("io_table_replace_append", "o_orderkey:i o_totalprice:2 o_orderstatus", table_append, "out as (select o_orderkey, o_totalprice, o_orderstatus from orders)")
+
+
+add_query("io_list_tables", "listed:i", lambda s, d: table_append(s, d).sparkSession.range(1).withColumn("listed", S.list_tables(s).filter("name like 'order_table_%' and not temporary").agg((F.count("*") > 0).cast("int")).scalar()).select("listed"),
+          "out as (select 1 as listed from orders limit 1)")
 
 
 def jsonl(s, d):
@@ -283,15 +287,14 @@ add_query(
 
 
 def econ(s, d):
-    o = T.table(s, d, "orders").filter("o_totalprice > 400000").select(F.lit("CPI").alias("event_name"), F.to_date("o_orderdate").alias("date"))
-    fixed = T.table(s, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 450000").select(F.lit("FOMC Meeting").alias("event_name"), F.to_date("o_orderdate").alias("date"))
-    return S.economic_calendar(o, fixed, F.to_date(F.lit("1998-06-15")))
+    days = T.meetings(s, d)
+    return S.economic_calendar(days.filter("event_name = 'CPI'"), days.filter("event_name <> 'CPI'"), F.to_date(F.lit("1998-06-15")))
 
 
 add_query(
     "calendar_window", "event_name date:d days_from_today:i", econ,
     """out as (select distinct event_name, date, date - date '1998-06-15' as days_from_today from (
-        select 'CPI' as event_name, cast(o_orderdate as date) as date from orders where o_totalprice > 400000 union all
-        select 'FOMC Meeting', cast(o_orderdate as date) from orders where o_orderstatus = 'P' and o_totalprice > 450000)
+        select 'CPI' as event_name, cast(o_orderdate as date) as date from orders group by 2 having arg_min(o_orderstatus, row(o_totalprice, o_orderkey)) = 'P' union all
+        select 'FOMC Meeting', cast(o_orderdate as date) as date from orders group by 2 having arg_max(o_orderstatus, row(o_totalprice, o_orderkey)) = 'P')
         where date between date '1998-06-15' - 7 and date '1998-06-15' + 30)""",
 )

@@ -89,3 +89,36 @@ def test_a_large_group_of_near_copies_is_decided_at_once(spark, monkeypatch):
         spans.append(len(rounds))
         monkeypatch.undo()
     assert spans[0] == spans[1] == 1
+
+
+@pytest.mark.parametrize("cell", [4096, 7])
+def test_search_does_not_depend_on_the_cells(spark, monkeypatch, cell):
+    """Retrieval against plain TF-IDF cosines, with a term that every document holds."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(texts, "CELL", cell)
+    pick = random.Random(3)
+    docs = [("A" if i % 3 else "B", i, "common " + " ".join(pick.choices([f"w{k}" for k in range(30)], k=pick.randint(0, 12)))) for i in range(90)] + [("C", 500, "nothing here")]
+    df = spark.createDataFrame(docs, "ticker string, id long, text string").selectExpr("*", "timestamp'2020-01-01' as known_at")
+    query = "w1 w2 w1 unheard common"
+
+    def grams(text):
+        w = [x for x in text.split() if len(x) > 1]
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    want = {}
+    for ticker in "AB":
+        mine = {i: grams(t) for tk, i, t in docs if tk == ticker}
+        q, n = grams(query), len(mine) + 1
+        df_ = Counter(t for g in [*mine.values(), q] for t in g)
+        idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df_.items()}
+        size = lambda g: math.sqrt(sum((c * idf[t]) ** 2 for t, c in g.items()))  # noqa: B023, E731
+        score = {i: sum(c * idf[t] * q.get(t, 0) * idf[t] for t, c in g.items()) / (size(g) * size(q)) for i, g in mine.items()}
+        want[ticker] = sorted(((-s, i) for i, s in score.items() if s > 0))[:5]
+    got = {}
+    for r in texts.tfidf_search(df, query, 5).orderBy("ticker", "rank").collect():
+        got.setdefault(r.ticker, []).append((-r.relevance, r.id))
+    assert got.keys() == want.keys()
+    for ticker, rows in want.items():
+        assert [i for _, i in got[ticker]] == [i for _, i in rows] and all(abs(a - b) < 1e-9 for (a, _), (b, _) in zip(got[ticker], rows))
