@@ -244,8 +244,9 @@ def pages(s, d):
 
 def plain_sql(x: str) -> str:
     e = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for a, b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+    for a, b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)")):
         e = f"replace({e}, '{a}', {b})"
+    e = f"regexp_replace({e}, '&amp;?', '&', 'g')"
     return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,60 +268,117 @@ def meetings(spark: SparkSession) -> DataFrame:
 
 # -- HTML and feeds -----------------------------------------------------------
 
+# Elements left out of an article's text, and where its text is looked for, in this order.
 NOISE = ["script", "style", "noscript", "svg", "nav", "footer", "aside", "form"]
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-CLASSES = ["article-body", "story-body", "entry-content", "post-content"]
+CONTAINERS = ["article", "main", "[role=main]", ".article-body", ".story-body", ".entry-content", ".post-content"]
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 
 
-def plain(c: Column) -> Column:
-    """Markup to text: tags out, common entities in, whitespace collapsed."""
-    c = F.regexp_replace(c, "<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+class _Page(HTMLParser):
+    """Title, description and paragraphs of a page, each paragraph with the containers it stands in.
 
+    A paragraph ends at its closing tag, at the next one, or with its container.
+    Text inside ``NOISE`` elements at any depth is left out.
+    """
 
-def paragraphs(block: Column, at_least: int = 40) -> Column:
-    """Text of the paragraphs of 40 or more characters, joined by spaces."""
-    pieces = F.split(block, r"(?i)<p(?:\s[^>]*)?>")
-    body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    texts = F.transform(body, lambda p: plain(F.regexp_replace(p, r"(?is)</p\s*>.*", "")))
-    return F.array_join(F.filter(texts, lambda t: F.length(t) >= at_least), " ")
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str]] = []  # tag and container kind
+        self.depth: Counter[str] = Counter()
+        self.quiet = 0
+        self.containers: list[tuple[int, list[str]]] = []  # kind and paragraphs, in page order
+        self.inside: list[int] = []
+        self.paragraphs: list[str] = []
+        self.told: dict[str, str] = {}
+        self.heading: list[str] | None = None
+        self.text: list[str] | None = None
+        self.feed(html)
+        self.close()
+        self._end_paragraph()
+
+    def _end_paragraph(self) -> None:
+        if self.text is None:
+            return
+        text, self.text = " ".join(" ".join(self.text).split()), None
+        if len(text) >= 40:
+            self.paragraphs.append(text)
+            for at in self.inside:
+                self.containers[at][1].append(text)
+
+    def _kinds(self, tag: str, told: dict[str, str]) -> list[int]:
+        names = [tag, f"[role={told.get('role', '')}]", *(f".{c}" for c in told.get("class", "").split())]
+        return [k for k, c in enumerate(CONTAINERS) if c in names]
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        told = {k: v or "" for k, v in attrs}
+        if tag == "meta":
+            for key in (told.get("property"), told.get("name")):
+                if key in ("og:title", "description"):
+                    self.told.setdefault(key, told.get("content", ""))
+        if tag in VOID:
+            return
+        if tag == "title" and self.heading is None and not self.quiet:
+            self.heading = []
+        if tag == "p":
+            self._end_paragraph()
+            if not self.quiet:
+                self.text = []
+        self.quiet += tag in NOISE
+        kinds = [] if self.quiet else self._kinds(tag, told)
+        for kind in kinds:
+            self.inside.append(len(self.containers))
+            self.containers.append((kind, []))
+        self.open.append((tag, len(kinds)))
+        self.depth[tag] += 1
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "p":
+            self._end_paragraph()
+        if not self.depth[tag]:
+            return
+        while self.open:
+            name, kinds = self.open.pop()
+            self.depth[name] -= 1
+            self.quiet -= name in NOISE
+            if kinds:
+                self._end_paragraph()
+                del self.inside[len(self.inside) - kinds :]
+            if name == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.quiet:
+            return
+        if self.open and self.open[-1][0] == "title" and self.heading is not None:
+            self.heading.append(data)
+        elif self.text is not None:
+            self.text.append(data)
+
+    def result(self) -> tuple[str, str]:
+        squeeze = lambda t: " ".join(t.split())
+        best = ""
+        for _, found in sorted(self.containers, key=lambda c: c[0]):  # stable: page order within a kind
+            text = " ".join(found)
+            best = text if len(text) > len(best) else best
+        body = best or " ".join(self.paragraphs) or squeeze(self.told.get("description", ""))
+        return squeeze(self.told.get("og:title", "")) or squeeze("".join(self.heading or ())), body
+
+
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())]))
+def page_text(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_Page(h or "").result() for h in html], columns=["title", "body"])
 
 
 def article_text(df: DataFrame, html: str, fallback: str = "") -> DataFrame:
-    """Add ``title`` and ``body`` of a page, by string and array functions only.
+    """Add ``title`` and ``body`` of a page: the longest container's paragraphs of 40
+    characters or more, else the whole page's, else its description.
 
-    Each step is its own projection so that a page is cleaned once.
+    Pages are parsed in Arrow batches, one pass each, whole; null pages have the
+    fallback title and an empty body.
     """
-    raw = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
-    for tag in NOISE:
-        raw = F.regexp_replace(raw, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    df = df.withColumn("_raw", raw)
-    raw = F.col("_raw")
-
-    def first(pattern):
-        return F.regexp_extract(raw, pattern, 1)
-
-    def blocks(pattern):
-        return F.regexp_extract_all(raw, F.lit(pattern), F.lit(1))
-
-    social = first(r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)""")
-    heading = first(r"(?is)<title[^>]*>(.*?)</title")
-    found = [
-        blocks(r"(?is)<article\b[^>]*>(.*?)</article\s*>"),
-        blocks(r"(?is)<main\b[^>]*>(.*?)</main\s*>"),
-        blocks(r"""(?is)<div[^>]*role=["']main["'][^>]*>(.*?)</div\s*>"""),
-        *[blocks(rf"""(?is)<div[^>]*class=["'][^"']*\b{c}\b[^"']*["'][^>]*>(.*?)</div\s*>""") for c in CLASSES],
-    ]
-    described = plain(first(r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)"""))
-    df = df.withColumn("_texts", F.transform(F.flatten(F.array(*found)), lambda b: paragraphs(b)))
-    longest = F.aggregate("_texts", F.lit(""), lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best))
-    df = df.withColumn("_long", longest)
-    title = F.coalesce(F.nullif(plain(social), F.lit("")), F.nullif(plain(heading), F.lit("")), F.lit(fallback))
-    # the whole page's paragraphs and the description only matter without a container
-    body = F.when(F.col("_long") != "", F.col("_long")).otherwise(F.coalesce(F.nullif(paragraphs(raw), F.lit("")), described))
-    return df.withColumns({"title": title, "body": body}).drop("_raw", "_texts", "_long")
+    found = df.withColumn("_page", page_text(F.col(html)))
+    title = F.coalesce(F.nullif(F.col("_page.title"), F.lit("")), F.lit(fallback))
+    return found.withColumns({"title": title, "body": F.col("_page.body")}).drop("_page")
 
 
 FEED = (

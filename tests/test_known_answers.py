@@ -357,6 +357,26 @@ def test_article_prefers_the_longest_container(spark):
     assert r["title"] == "T & U" and r["body"] == f"{long} b {long} c"
 
 
+def test_article_with_nested_markup_and_entities(spark):
+    long = "word " * 10
+    html = (
+        "<html><head><meta property='og:title' content='A &mdash; B'><title>no</title><meta name=description content='told &amp; done'></head><body>"
+        f"<nav><nav><p>{long}menu</p></nav><p>{long}still menu</p></nav>"
+        f"<div class='x article-body y'><div><div><p>{long}one&#8217;s &#x201C;q&#x201D;</p></div></div><p>{long}two &lt;b&gt; &amp;lt;</p><form><p>{long}form</p></form><p>short</p></div>"
+        f"<p>{long}outside</p><script>if (a<b) '<p>{long}code</p>'</script></body></html>"
+    )
+    bare = f"<body><p>{long}only</p><p>tiny</p>"
+    dark = "<head><title>T<b>x</b></title><meta name=description content='told  &amp; done'></head><p>short</p>"
+    unclosed = f"<main><p>{long}a<p>{long}b<div><p>{long}c</main><p>{long}d"
+    rows = spark.createDataFrame([(1, html), (2, bare), (3, dark), (4, None), (5, unclosed), (6, "")], "id int, html string")
+    got = {r.id: (r.title, r.body) for r in S.article_text(rows, "html", "none").collect()}
+    w = long.strip()
+    assert got[1] == ("A — B", f"{w} one’s “q” {w} two <b> &lt;")
+    assert got[2] == ("none", f"{w} only") and got[4] == ("none", "") and got[6] == ("none", "")
+    assert got[3][1] == "told & done" and got[3][0].startswith("T")
+    assert got[5][1] == f"{w} a {w} b {w} c"
+
+
 def test_stream_bars_equal_batch_bars(spark):
     from barleaf.plans.registry import QUERIES
     import barleaf.plans.catalog  # noqa: F401
