@@ -120,6 +120,21 @@ add_query("bars_dense", "date:d ticker adj_close", dense, BARS, DENSE, relation=
 add_query("nonlinear_eigen_features", "date:d ticker rmt_systematic_frac:6 rmt_market_beta:6", lambda s, d: N.eigen_features(dense(s, d)))
 
 
+def modes(s, d):
+    """The spectrum's invariants: the trace, and whether the leading vector is one."""
+    found = N.market_modes(N.standard_windows(dense(s, d)))
+    return found.select("date", "names", "trace", (F.col("residual") < 1e-8 * F.col("top")).alias("sound"), ((F.col("frac") >= 0) & (F.col("frac") <= 1)).alias("share"))
+
+
+add_query(
+    "nonlinear_market_modes", "date:d names:i trace:6 sound share", modes, BARS, DENSE,
+    "rr as (select ticker, date, i, ln(adj_close / lag(adj_close) over (partition by ticker order by i)) as r from dense)",
+    "rw as (select ticker, date, i, count(r) over w as nfull, i - lag(i, 251) over (partition by ticker order by i) as span, var_pop(r) over w as v from rr window w as (partition by ticker order by i rows 251 preceding))",
+    "an as (select i from cal where i >= 252 and ((i - 252) % 5 = 0 or i = (select max(i) from cal)))",
+    "out as (select date, count(*) as names, sum(v / pow(sqrt(v) + 1e-12, 2)) as trace, true as sound, true as share from rw semi join an using (i) where nfull = 252 and span = 251 group by 1 having count(*) >= 20)",
+)
+
+
 add_query("select_returns", "date:d ticker ret:6", lambda s, d: returns_of(T.panel(s, d)), BARS,
           "r as (select date, ticker, adj_close / lag(adj_close) over (partition by ticker order by date) - 1 as ret from panel)", "out as (select * from r where ret is not null)")
 add_query("select_newest_names", "ticker date:d", lambda s, d: D.latest_per_ticker(T.panel(s, d), []), BARS, "out as (select ticker, max(date) as date from panel group by 1)")
