@@ -132,7 +132,7 @@ def drifted(s, d):
 _MELT = " union all ".join(f"select '{c}' as feature, cast({c} as double) as v, cast(date < date '1998-01-01' as int) as a from feat where {c} is not null" for c in DRIFTED)
 add_query(
     "metric_drift", "feature ks_stat:9 ref_n:i cur_n:i p_value:8 drift", drifted, PRICE, f"ml as ({_MELT})",
-    "nn as (select feature, sum(a) as ref_n, sum(1 - a) as cur_n from ml group by 1)",
+    "nn as (select feature, sum(a) as ref_n, sum(1 - a) as cur_n from ml group by 1 having sum(a) >= 30 and sum(1 - a) >= 30)",
     "cd as (select feature, v, sum(a) over (partition by feature order by v) as ca, sum(1 - a) over (partition by feature order by v) as cb from ml)",
     "ks as (select feature, max(abs(ca / ref_n - cb / cur_n)) as ks_stat, any_value(ref_n) as ref_n, any_value(cur_n) as cur_n from cd join nn using (feature) group by 1)",
     "lm as (select *, ks_stat * sqrt(ref_n * cur_n / (ref_n + cur_n)) as l from ks)",
