@@ -12,8 +12,11 @@ exact inner product in double precision.
 
 Skew.  Equal vectors collapse first: only the ``k + 1`` smallest ids of a vector
 can be answers, and a query vector is searched once however many rows ask it.
-Large partitions are dealt into chunks of ``CHUNK`` vectors by ``CHUNK``
-queries, so a task's memory is bounded whatever the network does.
+Queries are dealt into blocks of ``CHUNK`` and partitions into ``LANES``; a
+block meets the vectors of a lane as one stream and keeps a running list of its
+best, so a query leaves a lane with one row however many partitions it probes,
+and a task holds a block of queries and a slice of vectors whatever the network
+does.
 
 Edge cases.  Null or zero vectors and those with null or non-finite components,
 or of another length than most, take no part.  Ties go to the smaller id.  A
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barleaf.llm.common import parts as width
 from barleaf.llm.common import stored
 
 SAMPLE = 8192
@@ -41,6 +45,7 @@ PARTITION = 2048
 MOST_PARTITIONS = 128
 RECALL = 0.97
 CHUNK = 4096
+LANES = 8
 HIDDEN = 128
 EPOCHS = 30
 SEED = 11
@@ -178,20 +183,77 @@ def _routed(rows: DataFrame, net: dict, probes: int) -> DataFrame:
     return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("parts", T.ArrayType(T.IntegerType()))]))
 
 
-def _rank(queries: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best ids for each query among the vectors of one cell."""
-    out = []
-    if len(queries) and len(held):
-        x, ids = np.stack(held["v"].to_numpy()), held["ids"].to_numpy()
-        for at in range(0, len(queries), 512):
-            some = queries.iloc[at : at + 512]
-            scores = np.stack(some["v"].to_numpy()) @ x.T
-            least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(some), -np.inf)
-            for q, s, low in zip(some["qid"], scores, least):
-                best = np.flatnonzero(s >= low)
-                found = sorted((-s[i], j) for i in best for j in ids[i])[:k]
-                out += [(q, -s_, j) for s_, j in found]
-    return pd.DataFrame(out, columns=["qid", "score", "vec_id"])
+class Block:
+    """Some queries and the best ``k`` answers that each has met so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.vectors, self.parts = k, [], [], []
+
+    def ask(self, qid: int, vector: list[float], parts: list[int]) -> None:
+        self.ids.append(qid)
+        self.vectors.append(vector)
+        self.parts.append(parts)
+
+    def ready(self) -> None:
+        self.x = np.array(self.vectors)
+        self.best: list[list[tuple[float, int]]] = [[] for _ in self.ids]
+        self.least = np.full(len(self.ids), -np.inf)  # the last of the best, once there are k
+        self.by_part: dict[int, list[int]] = {}
+        for q, parts in enumerate(self.parts):
+            for p in parts:
+                self.by_part.setdefault(p, []).append(q)
+
+    def meet(self, part: int, vectors: np.ndarray, ids: list[list[int]]) -> None:
+        asked = np.array(self.by_part.get(part, ()), np.int64)
+        for at in range(0, len(asked), 512):
+            some = asked[at : at + 512]
+            scores = self.x[some] @ vectors.T
+            low = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(some), -np.inf)
+            low = np.maximum(low, self.least[some])  # equal scores may still win by a smaller id
+            rows, cols = np.nonzero(scores >= low[:, None])
+            for lo, hi in zip(*(np.searchsorted(rows, np.arange(len(some)), side) for side in ("left", "right"))):
+                if lo == hi:
+                    continue
+                r = rows[lo]
+                q = some[r]
+                self.best[q] = sorted(self.best[q] + [(-scores[r, c], j) for c in cols[lo:hi] for j in ids[c]])[: self.k]
+                if len(self.best[q]) == self.k:
+                    self.least[q] = -self.best[q][-1][0]
+
+    def answers(self) -> pa.RecordBatch:
+        near = [[{"away": away, "vec_id": j} for away, j in b] for b in self.best]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(near, _NEAR)], ["qid", "near"])
+
+
+_NEAR = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
+
+
+def _streamed(batches, k: int):
+    """Answers of every (block, lane); rows come sorted by them, queries before vectors, vectors by partition."""
+    at, block, started = None, None, False
+    for batch in batches:
+        place = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+        edges = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            cell, part = tuple(place[:2, lo]), int(place[3, lo])
+            if cell != at:
+                if started:
+                    yield block.answers()
+                at, block, started = cell, Block(k), False
+            some = batch.slice(lo, hi - lo)
+            if place[2, lo] == 0:
+                for qid, v, parts in zip(*(some.column(i).to_pylist() for i in (4, 5, 6))):
+                    block.ask(qid, v, parts)
+                continue
+            if not block.ids:
+                continue  # nobody in this block asks this lane
+            if not started:
+                block.ready()
+                started = True
+            vectors = some.column(5).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+            block.meet(part, vectors, some.column(7).to_pylist())
+    if started:
+        yield block.answers()
 
 
 def search(rows: DataFrame, asked, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", parts: int | None = None, probes: int | None = None) -> DataFrame:
@@ -208,18 +270,18 @@ def search(rows: DataFrame, asked, k: int = 20, vec_id: str = "vec_id", embeddin
     asking = usable.where(asked(F.col("vec_id")))
     queries = stored(_routed(asking.groupBy("v").agg(F.min("vec_id").alias("qid")), net, probes), "queries")
     index = _routed(distinct, net, 1).withColumn("part", F.col("parts")[0])
-    to = queries.select("qid", "v", F.explode("parts").alias("part"))
-
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).alias("c")).join(to.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).alias("d")), "part")
-    sizes = stored(sizes, "sizes")  # a row per partition
-    index, to = (t.join(F.broadcast(sizes), "part") for t in (index, to))
-    index = index.select("part", "ids", "v", F.pmod(F.xxhash64("first"), F.col("c")).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("d"))
-    to = to.select("part", "qid", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("c"), F.pmod(F.xxhash64("qid"), F.col("d")).alias("d"))
-    cell = ["part", "c", "d"]
-    found = to.groupBy(*cell).cogroup(index.groupBy(*cell)).applyInPandas(lambda a, b: _rank(a, b, k + 1), "qid long, score double, vec_id long")
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    found = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+    blocks = max(1, -(-queries.count() // CHUNK))
+    lane = F.col("part") % LANES
+    # a query goes to the lanes of its partitions, a vector to every block
+    to = queries.select("qid", "v", "parts", F.explode(F.array_distinct(F.transform("parts", lambda p: p % LANES))).alias("lane"))
+    to = to.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), "lane", F.lit(0).alias("side"), F.lit(-1).alias("part"), "qid", "v", "parts", F.lit(None).cast("array<long>").alias("ids"))
+    held = index.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), lane.alias("lane"), F.lit(1).alias("side"), "part", F.lit(None).cast("long").alias("qid"), "v", F.lit(None).cast("array<int>").alias("parts"), "ids")
+    order = ["block", "lane", "side", "part"]
+    found = to.unionByName(held).repartition(max(width(rows.sparkSession), LANES), "block", "lane").sortWithinPartitions(*order)
+    found = found.mapInArrow(lambda batches: _streamed(batches, k + 1), "qid long, near array<struct<away: double, vec_id: long>>")
+    # at most one list for each lane
+    found = found.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    found = found.select("qid", F.transform("near", lambda n: F.struct(n["vec_id"].alias("vec_id"), (-n["away"]).alias("score"))).alias("near"))
 
     answers = stored(queries.select("qid", "v").join(found, "qid").select("v", "near"), "answers")
     out = asking.select(F.col("vec_id").alias("query_id"), "v").join(answers, "v")
