@@ -33,13 +33,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.representatives(docs)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 or more of their five-word shingles one stays; three bits reach few of them."""
-    return shingles.representatives(docs)
+    """One document of each group of near copies stays: of those within SimHash's
+    few bits, and then of those that share 0.8 or more of their five-word shingles,
+    which three bits reach few of."""
+    return shingles.representatives(simhash.representatives(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +53,6 @@ STAGES = [
     ("quality rules", quality_rules),
     ("quality classifier", quality_classifier),
     ("near duplicates", near_duplicates),
-    ("near copies", near_copies),
     ("secret scan", secret_scan),
     ("packing", pack),
 ]
