@@ -19,6 +19,7 @@ features_returns features_volatility features_regime features_benchmark events_s
 rule_momentum_rotation rule_turtle_donchian rule_macd_crossover rule_quality_factor rule_hrp rule_thompson_sampling_rl evaluate_daily_results
 io_jsonl_skip_corrupt merge_keyed_last pages_article_text quality_bar_checks decide_stance size_tiered_allocation rules_standing rules_cycles flags_composite
 split_combinatorial metric_pooled_ic metric_drift ledger_calibration band_conformal nonlinear_perm_entropy_60 nonlinear_hill_tail_alpha_250 nonlinear_rough_vol_h_120 nonlinear_wavelet_hf_60 nonlinear_ar1_60 nonlinear_hist_entropy_60
+gate_shuffled_labels features_assembled_prices_and_filings words_jaccard ledger_pending flags_overrides
 words_near_copies_dropped search_tfidf live_latest_price live_equity_log term_interpolated
 """.split()
 
