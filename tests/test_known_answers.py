@@ -416,3 +416,16 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     q.awaitTermination()
     dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
     assert dropped == 1 and spark.table("late_bars").count() >= 1
+
+
+def test_a_mean_at_the_threshold_does_not_pass_it_in_any_order(spark, tmp_path):
+    """Means of exactly 0.03 (event_driven asks for more than 0.3 after scaling), whatever the order of lines."""
+    from barleaf.sources import tables as T
+
+    rates = {1: [(0.07, 0.08), (0.10, 0.03)], 2: [(0.10, 0.03), (0.07, 0.08)], 3: [(0.08, 0.0), (0.0, 0.02)], 4: [(0.05, 0.02)], 5: [(0.08, 0.04), (0.05, 0.0), (0.10, 0.08), (0.04, 0.03)], 6: [(0.06, 0.02)]}
+    lines = [(part, "1995-01-05", d, t, "R") for part, pairs in rates.items() for d, t in pairs]
+    spark.createDataFrame(lines, "l_partkey long, l_shipdate string, l_discount double, l_tax double, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(part, f"Brand#{part}") for part in rates], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.ticker: (r.gdelt_tone, r.gdelt_vol) for r in T.tone_series(spark, str(tmp_path)).collect()}
+    assert got == {f"Brand#{part}": (0.04 if part == 6 else 0.03, len(pairs)) for part, pairs in rates.items()}
+    assert sorted(k for k, (tone, _) in got.items() if tone * 10 > 0.3) == ["Brand#6"]
