@@ -96,7 +96,8 @@ add_query("search_tfidf", "ticker id:i rank:i relevance:8", lambda s, d: M.tfidf
 def packed(s, d):
     hits = M.tfidf_search(corpus(s, d), _QUERY, 6, as_of(s, d))
     text = corpus(s, d).select("ticker", "id", "known_at", F.regexp_replace("text", r"\s+", " ").alias("snippet"))
-    return M.pack_context(hits.join(text, ["ticker", "id"]), 6000)
+    # six hits a source are broadcast, so that the texts stay where they are
+    return M.pack_context(text.join(F.broadcast(hits), ["ticker", "id"]), 6000)
 
 
 add_query(

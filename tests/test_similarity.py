@@ -122,3 +122,31 @@ def test_search_does_not_depend_on_the_cells(spark, monkeypatch, cell):
     assert got.keys() == want.keys()
     for ticker, rows in want.items():
         assert [i for _, i in got[ticker]] == [i for _, i in rows] and all(abs(a - b) < 1e-9 for (a, _), (b, _) in zip(got[ticker], rows))
+
+
+def test_a_search_stores_less_than_its_texts(spark, monkeypatch):
+    """Postings stay out of the shared folder (they were several times the texts there), and pack many to a row."""
+    from pathlib import Path
+
+    from barleaf.session import shared_folder
+
+    pick = random.Random(5)
+    docs = [(f"T{i % 3}", i, " ".join(f"w{pick.randint(0, 3000)}" for _ in range(300))) for i in range(300)]
+    df = spark.createDataFrame(docs, "ticker string, id long, text string").selectExpr("*", "timestamp'2020-01-01' as known_at")
+    stored = lambda: sum(f.stat().st_size for f in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before = stored()
+    assert texts.tfidf_search(df, "w1 w2 w3", 4).count() == 12
+    assert stored() - before < sum(len(t) for _, _, t in docs)
+
+    monkeypatch.setattr(texts, "WORDS", 5000)
+    lists = df.selectExpr("ticker", "101L as n", "7 as chunks", "id", "split(text, ' ') as words")
+    rows = texts.packed_counts(lists).collect()
+    want = {}
+    for ticker, i, text in docs:
+        w = text.split()
+        for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            want[ticker, i, t] = want.get((ticker, i, t), 0) + 1
+    assert {(r.ticker, i, t): n for r in rows for t, i, n in zip(r.terms.split("\n"), r.ids, r["counts"])} == want
+    assert len(rows) < len(want) / 20
+    placed = {(r.ticker, t, r.chunk) for r in rows for t in r.terms.split("\n")}
+    assert len(placed) == len({(k, t) for k, t, _ in placed})
