@@ -429,3 +429,37 @@ def test_a_mean_at_the_threshold_does_not_pass_it_in_any_order(spark, tmp_path):
     got = {r.ticker: (r.gdelt_tone, r.gdelt_vol) for r in T.tone_series(spark, str(tmp_path)).collect()}
     assert got == {f"Brand#{part}": (0.04 if part == 6 else 0.03, len(pairs)) for part, pairs in rates.items()}
     assert sorted(k for k, (tone, _) in got.items() if tone * 10 > 0.3) == ["Brand#6"]
+
+
+def test_few_pages_of_a_batch_are_strings_at_once(monkeypatch):
+    """A batch of any number of pages stays in Arrow while they are parsed."""
+    import pyarrow as pa
+
+    from barleaf.sources import files
+
+    alive, most = set(), []
+
+    class Watched(files._Page):
+        def __init__(self, html):
+            alive.add(html)
+            most.append(len(alive))
+            super().__init__(html)
+
+    pages = [None if i % 50 == 7 else f"<title>t{i}</title><p>{'word ' * 10}{i}</p>" for i in range(1000)]
+    monkeypatch.setattr(files, "_Page", Watched)
+    slices = pa.Array.slice
+    sizes = []
+
+    class Batch:
+        def __len__(self):
+            return len(pages)
+
+        def slice(self, at, n):
+            sizes.append(n)
+            alive.clear()
+            return slices(pa.array(pages), at, n)
+
+    got = files._texts(Batch()).to_pylist()
+    assert max(most) <= files.PAGES and len(sizes) == 4
+    want = [{"title": "", "body": ""} if p is None else {"title": f"t{i}", "body": f"{'word ' * 10}{i}"} for i, p in enumerate(pages)]
+    assert got == want and files._texts(pa.array([], pa.string())).to_pylist() == []
