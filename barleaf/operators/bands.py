@@ -58,7 +58,8 @@ def fit_quantiles(rows: DataFrame, features: Sequence[str], quantiles: Sequence[
     plain = {r[by]: _solve(r, terms) for r in _sums(u, [by], terms, F.lit(1.0))}
 
     def held(values: list[tuple], schema: str) -> DataFrame:
-        return spark.createDataFrame(values, schema)
+        # a few rows of a size that Spark doesn't know: without the hint it would send all of ``u`` through the driver instead
+        return F.broadcast(spark.createDataFrame(values, schema))
 
     fitted = F.aggregate(F.zip_with("u", "beta", lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
     start = held([(k, b) for k, b in plain.items()], f"{by} {kind}, beta array<double>")
@@ -93,12 +94,13 @@ def conformal(scored: DataFrame, lo: str, hi: str, alpha: float = 0.10, by: str
     """(by, n_cal, margin, coverage): the order statistic of how far y lies outside the band, the higher neighbour of its level."""
     rows = scored.select(by, F.greatest(F.col(lo) - F.col("y"), F.col("y") - F.col(hi)).alias("score"))
     counts = cut(running(distinct_counts(rows, "score", (by,)), "score", ["_n"], (by,)))
-    sizes = counts.groupBy(by).agg(F.sum("_n").alias("n_cal"))
+    # one row per group of a few
+    sizes = F.broadcast(counts.groupBy(by).agg(F.sum("_n").alias("n_cal")))
     position = F.least(F.ceil((F.col("n_cal") + 1) * (1 - alpha) - 1e-9) + 1, F.col("n_cal"))
     placed = counts.join(sizes, by)
     margin = placed.groupBy(by, "n_cal").agg(F.min(F.when(F.col("upto__n") >= position, F.col("score"))).alias("margin"))
     inside = F.sum(F.when(F.col("score") <= F.col("margin"), F.col("_n")).otherwise(0)) / F.col("n_cal")
-    return counts.join(margin, by).groupBy(by, "n_cal", "margin").agg(inside.alias("coverage"))
+    return counts.join(F.broadcast(margin), by).groupBy(by, "n_cal", "margin").agg(inside.alias("coverage"))
 
 
 def fitted_bands(rows: DataFrame, features: Sequence[str], quantiles: Sequence[float] = QUANTILES, alpha: float = 0.10, fraction: float = 0.2, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
