@@ -330,3 +330,32 @@ def test_run_of_nothing(spark, tmp_path):
 
 def test_registered_queries():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_suffix_array_is_in_order_with_common_prefixes(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, f"http://h{k % 3}.org/{k}", " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40)))) for k in range(300)]
+    read = spark.createDataFrame(rows, "row long, url string, outside string").repartition(3)
+    everything = np.full(1 << 13, 255, np.uint8)
+    array = pages.suffix_array(pages._cut_suffixes(read, everything)).withColumn("part", F.spark_partition_id()).collect()
+
+    counts, tokens = {}, lambda s: [s[i : i + 8] for i in range(0, len(s), 8)]
+    for _, url, text in rows:
+        host, h = pages._stream(url, text)
+        words = [int(x).to_bytes(8, "big") for x in h]
+        for s in {b"".join(words[i : i + pages.RUN]) for i in range(len(words) - pages.RUN + 1)}:
+            counts[host, s] = counts.get((host, s), 0) + 1
+    got = {}
+    for r in array:
+        got[r.host, bytes(r.suffix)] = got.get((r.host, bytes(r.suffix)), 0) + r.pages
+    assert got == counts
+    for a, b in zip(array, array[1:]):
+        if a.part == b.part:
+            assert (a.host, bytes(a.suffix)) <= (b.host, bytes(b.suffix))
+            same = [x == y for x, y in zip(tokens(bytes(a.suffix)), tokens(bytes(b.suffix)))] + [False]
+            assert b.lcp == (same.index(False) if a.host == b.host else 0)
+    keys = {r.key for r in array if counts[r.host, bytes(r.suffix)] > 1}
+    runs = [r.key for r in pages._runs(pages.suffix_array(pages._cut_suffixes(read, everything))).collect()]
+    assert set(runs) == keys and len(runs) == len(keys)
