@@ -6,10 +6,12 @@ closest of these; min-wise hashing reaches all but about 4 in 10,000 at 0.8
 (``BANDS`` bands of ``ROWS`` minima), and fewer above.  Every link is verified on
 the whole texts.
 
-Buckets.  Documents that agree in a band share a bucket.  In each round the first
-``LEADERS`` members of a bucket, in one order for all buckets, meet all the
-others.  Before texts are read a pair must pass the bound that the set sizes
-give, and agree in ``AGREE`` of the minima (a pair at 0.8 agrees in 80 of 100 on
+Buckets.  Documents that agree in a band share a bucket.  A band is one long:
+``LANE`` bits of each of its minima, so equal minima always agree and unequal ones
+once in 4,096 times.  In each round the first ``LEADERS`` members of a bucket, in
+one order for all buckets, meet all the others.  Before a pair leaves their join
+it must pass the bound that the set sizes give, and agree in ``AGREE`` of the
+minima, which the bands of both sides tell (a pair at 0.8 agrees in 80 of 100 on
 average, and in fewer than 50 once in 10^11 times).  Linked documents become one,
 the leaders have met their bucket and leave it, and the next round has ``MORE``
 times as many leaders, so rounds grow with the logarithm of a bucket.  A pair that
@@ -17,7 +19,7 @@ shares several buckets counts in the first of them only.  At the end no
 two kept documents of one bucket are unmet, and whatever went is linked to a kept
 document, directly or by a chain of links.
 
-Traffic.  The rows are written once with their minima and bands; sets are never
+Traffic.  The rows are written once with their bands; sets are never
 written, and only the texts of candidate pairs are shuffled.  Rows that go are
 told by their number, and the others don't move while Spark finds the list small
 enough to broadcast.
@@ -41,7 +43,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,12 +55,17 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 AGREE = 50
+LANE = 12
 LEADERS = 2
 MORE = 8
 PARTS = 64
 SLICE = 512
+BUCKET = ["band", "bucket"]
 
 _STEP = 2048
+# a band's lanes, all but their upper bits, and those upper bits
+_LOW = sum((1 << LANE - 1) - 1 << LANE * k for k in range(ROWS))
+_HIGH = sum(1 << LANE * k + LANE - 1 for k in range(ROWS))
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -80,42 +87,36 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def bands(least: np.ndarray) -> np.ndarray:
-    """One key for each band of minima."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = (key ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    """One long for each band: middle bits of its minima side by side (the upper bits of a minimum are mostly zero)."""
+    lanes = (least >> np.uint64(20) & np.uint64((1 << LANE) - 1)).astype(np.int64).reshape(BANDS, ROWS)
+    return (lanes << LANE * np.arange(ROWS)).sum(axis=1)
+
+
+def _agreeing(x: Column, y: Column) -> Column:
+    """Minima in which two documents' bands agree."""
+
+    def unlike(x: Column, y: Column) -> Column:
+        v = x.bitwiseXOR(y)
+        return F.bit_count((v.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(v).bitwiseAND(F.lit(_HIGH)))
+
+    return F.lit(BANDS * ROWS) - F.aggregate(F.zip_with(x, y, unlike), F.lit(0), lambda s, n: s + n)
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """``rows(row, text, number)`` with the set's digest, size, bands and sixteen bits of each minimum; the text stays in the row."""
+    """``rows(row, text, number)`` with the set's digest, size and bands; the text stays in the row."""
 
     def work(batches):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
                 sets = [shingles(t, width) for t in some.column(1).to_pylist()]
-                least = [minima(s) for s in sets]
-                columns = [pa.array([hashlib.sha256(s).digest() for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([bands(x) for x in least], pa.list_(pa.int64())), pa.array([(x >> np.uint64(48)).astype(np.uint16).tobytes() for x in least], pa.binary())]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *columns], ["row", "number", "digest", "n", "buckets", "minima"])
+                columns = [pa.array([hashlib.sha256(s).digest() for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([bands(minima(s)) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *columns], ["row", "number", "digest", "n", "buckets"])
 
-    schema = rows.select("row", "number").schema.add("digest", T.BinaryType()).add("n", T.LongType()).add("buckets", T.ArrayType(T.LongType())).add("minima", T.BinaryType())
+    schema = rows.select("row", "number").schema.add("digest", T.BinaryType()).add("n", T.LongType()).add("buckets", T.ArrayType(T.LongType()))
     return rows.mapInArrow(work, schema)
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame, agree: int) -> DataFrame:
-    """``pairs(node, head)`` that have enough minima in common."""
-
-    def work(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for i in (2, 3))
-            yield batch.select(["node", "head"]).filter(pa.array((x == y).sum(axis=1) >= agree))
-
-    left, right = (nodes.select(F.col("node").alias(c), F.col("minima").alias(m)) for c, m in (("node", "x"), ("head", "y")))
-    return pairs.join(left, "node").join(right, "head").select("node", "head", "x", "y").mapInArrow(work, "node long, head long")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """``(a, b)``: the ``pairs(node, head)`` whose whole texts are similar; a head's set is made once for a slice of its pairs."""
     spark = pairs.sparkSession
@@ -146,12 +147,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def _leaders(members: DataFrame, n: int) -> DataFrame:
-    """``(bucket, head, m)``: the first ``n`` members of every bucket in the order of their numbers' hash."""
+    """``(band, bucket, head, m, theirs)``: the first ``n`` members of every bucket in the order of their numbers' hash."""
     order = F.xxhash64("node")
-    part = Window.partitionBy("bucket", F.pmod(order, F.lit(PARTS))).orderBy(order, "node")
+    part = Window.partitionBy("band", "bucket", F.pmod(order, F.lit(PARTS))).orderBy(order, "node")
     some = members.withColumn("at", F.row_number().over(part)).where(F.col("at") <= n)
-    some = some.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(order, "node"))).where(F.col("at") <= n)
-    return some.select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("buckets").alias("theirs"))
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("band", "bucket").orderBy(order, "node"))).where(F.col("at") <= n)
+    return some.select("band", "bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("buckets").alias("theirs"))
+
+
+def _met(members: DataFrame, heads: DataFrame, similarity: float, agree: int) -> DataFrame:
+    """``(node, head)`` of the members and leaders of a bucket that may be similar, each pair once."""
+    # the bands of both sides tell whether a pair has met in an earlier one
+    first = F.array_position(F.zip_with("buckets", "theirs", lambda x, y: x == y), True) == F.col("band") + 1
+    bound = (F.col("node") != F.col("head")) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
+    # two leaders of a bucket meet once
+    once = ~(F.col("leads") & (F.col("node") < F.col("head")))
+    led = members.join(heads.select(*BUCKET, F.col("head").alias("node"), F.lit(True).alias("is_head")), [*BUCKET, "node"], "left").withColumn("leads", F.coalesce("is_head", F.lit(False)))
+    fits = bound & once & first & (_agreeing(F.col("buckets"), F.col("theirs")) >= agree)
+    return led.join(heads, BUCKET).where(fits).select("node", "head")
 
 
 def representatives(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, agree: int = AGREE) -> DataFrame:
@@ -159,31 +172,24 @@ def representatives(docs: DataFrame, text: str = "text", width: int = WIDTH, sim
     rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("number"))
     signed = stored(_signed(rows, width), "signed")
     # equal sets are one node, told by its first row's number
-    nodes = signed.groupBy("digest").agg(F.min("number").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima"))
+    nodes = signed.groupBy("digest").agg(F.min("number").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     nodes = stored(nodes.drop("digest"), "nodes")
     texts = signed.select(F.col("number").alias("node"), F.col(f"row.`{text}`").cast("binary").alias("text"))
     kept = nodes.select("node")
 
     def shared(members: DataFrame) -> DataFrame:
         """Members of buckets with company."""
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-        return members.join(sizes, "bucket", "left_semi")
+        sizes = members.groupBy(BUCKET).agg(F.count("*").alias("size")).where("size > 1").select(BUCKET)
+        return members.join(sizes, BUCKET, "left_semi")
 
-    # the bands of both sides tell whether a pair has met in an earlier one
     thin = shared(nodes.select("node", F.posexplode("buckets").alias("band", "bucket")))
     members, leaders = stored(thin.join(nodes.select("node", "n", "buckets"), "node"), "members"), LEADERS
     while not members.isEmpty():
         heads = stored(_leaders(members, leaders), "heads")
-        first = F.array_position(F.zip_with("buckets", "theirs", lambda x, y: x == y), True) == F.col("band") + 1
-        bound = (F.col("node") != F.col("head")) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
-        # two leaders of a bucket meet once
-        once = ~(F.col("leads") & (F.col("node") < F.col("head")))
-        led = members.join(heads.select("bucket", F.col("head").alias("node"), F.lit(True).alias("is_head")), ["bucket", "node"], "left").withColumn("leads", F.coalesce("is_head", F.lit(False)))
-        pairs = led.join(heads, "bucket").where(bound & once & first).select("node", "head").distinct()
-        pairs = stored(_agreeing(pairs, nodes, agree), "pairs")
+        pairs = stored(_met(members, heads, similarity, agree), "pairs")
         links = stored(_verified(pairs, texts, width, similarity), "links")
-        met = heads.select("bucket", F.col("head").alias("node"))
-        rest = members.join(met, ["bucket", "node"], "left_anti")
+        met = heads.select(*BUCKET, F.col("head").alias("node"))
+        rest = members.join(met, [*BUCKET, "node"], "left_anti")
         if not links.isEmpty():
             linked = components(links)
             gone = stored(linked.where("node != label").select("node"), "copies")

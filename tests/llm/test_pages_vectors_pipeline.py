@@ -359,3 +359,37 @@ def test_suffix_array_is_in_order_with_common_prefixes(spark):
     keys = {r.key for r in array if counts[r.host, bytes(r.suffix)] > 1}
     runs = [r.key for r in pages._runs(pages.suffix_array(pages._cut_suffixes(read, everything))).collect()]
     assert set(runs) == keys and len(runs) == len(keys)
+
+
+def test_a_crowd_of_half_alike_texts_leaves_few_pairs(spark, monkeypatch):
+    """Pairs that share a bucket but too few minima don't leave the bucket's join."""
+    pick = random.Random(8)
+    base = [f"p{i}" for i in range(120)]
+    texts = [" ".join(w if pick.random() > 0.09 else f"x{pick.randrange(10**9)}" for w in base) for _ in range(300)]
+    made, kept = [], shingles.stored
+
+    def spy(df, label):
+        out = kept(df, label)
+        if label == "pairs":
+            made.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner"), out.count()))
+        return out
+
+    monkeypatch.setattr(shingles, "stored", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [slow_shingles(r.text) for r in shingles.representatives(df).collect()]
+    assert not any(len(x & y) >= 0.8 * len(x | y) for i, x in enumerate(left) for y in left[:i]) and len(left) > 200
+    least = [shingles.minima(shingles.shingles(t.encode())) for t in texts]
+    agree = [(x == y) for i, x in enumerate(least) for y in least[:i]]
+    meet = sum(a.reshape(shingles.BANDS, shingles.ROWS).all(axis=1).any() for a in agree)
+    assert all(joins == 1 for joins, _ in made)
+    assert sum(n for _, n in made) < meet / 2
+
+
+def test_bands_tell_equal_minima(spark):
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**64, (50, 100), dtype=np.uint64)
+    other = np.where(rng.random((50, 100)) < rng.random((50, 1)), one, rng.integers(0, 2**64, (50, 100), dtype=np.uint64))
+    rows = [([int(v) for v in shingles.bands(x)], [int(v) for v in shingles.bands(y)], int((x == y).sum())) for x, y in zip(one, other)]
+    rows.append((rows[0][0], rows[0][0], 100))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, same int").select("same", shingles._agreeing(F.col("x"), F.col("y")).alias("got"))
+    assert all(r.same <= r.got <= r.same + 2 for r in df.collect())
