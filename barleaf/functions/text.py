@@ -38,10 +38,8 @@ def lexicon_sentiment(text: str | Column, positive: list[str] = POSITIVE, negati
 def token_set(text: str | Column) -> Column:
     """Distinct lower-case tokens of two or more characters, stop words removed."""
     c = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))
-    return F.array_sort(
-        F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*IGNORED)))
-    )
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9']{2,}"), F.lit(0))
+    return F.sort_array(F.array_except(found, words(IGNORED)))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:

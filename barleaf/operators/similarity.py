@@ -10,6 +10,12 @@ masks differ.  Survivors are verified on the whole sets.
 A token's group may hold any share of all sets.  Its left side is dealt into
 cells of ``CELL`` sets and its right side is sent to each of them, so no task
 meets a whole group.
+
+Below ``COUNTED`` a prefix leaves out so little of a set that its rows, masks and
+verification cost more than they save: there the shared tokens of every pair are
+counted.  Left sets whose size fits no right set go first; the rest travel once,
+whole, by id, so where Spark broadcasts the right side's tokens a pair is counted
+in the task that holds its left set, and only similar pairs leave it.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 from barleaf.functions.text import jaccard
 
 CELL = 4096
+#: Thresholds from which prefixes are used.
+COUNTED = 0.3
 MASKS = ["_m0", "_m1", "_m2", "_m3"]
 
 
@@ -81,12 +89,28 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, within: Sequen
     return pairs.select(*within, a, b, jaccard("_ta", "_tb").alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
+def counted(left: DataFrame, right: DataFrame, within: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:
+    """(within, a, b, jaccard) of the pairs that reach the threshold, by the number of tokens that each pair shares."""
+    one, other = (s.select(*within, i, "tokens", F.size("tokens").alias(n)) for s, i, n in ((left, a, "size"), (right, b, "size_r")))
+    # empty sets share nothing; a filter on the left would make its sets twice
+    limits = other.filter("size_r > 0").agg(F.min("size_r").alias("_least"), F.max("size_r").alias("_most"))  # one row
+    fits = (F.col("size") >= threshold * F.col("_least") - 1e-9) & (threshold * F.col("size") <= F.col("_most") + 1e-9)
+    one = one.crossJoin(F.broadcast(limits)).filter(fits).select(*within, a, "size", "tokens")
+    # a named count, as pairs weigh more than the rows that adaptive execution would merge by
+    one = one.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *within, a)
+    both = one.withColumn("tokens", F.explode("tokens")).join(other.withColumn("tokens", F.explode("tokens")), [*within, "tokens"])
+    pairs = both.groupBy(*within, a, b, "size", "size_r").agg(F.count("*").alias("_k"))
+    return pairs.select(*within, a, b, (F.col("_k") / (F.col("size") + F.col("size_r") - F.col("_k"))).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
 def similar(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, within: Sequence[str] = ()) -> DataFrame:
     """(within, a, b, jaccard) of every pair of a left and a right set with at least the threshold.
 
     ``left`` and ``right`` need (within, id, tokens) with distinct tokens and one
     row per id; empty sets are similar to none.
     """
+    if threshold < COUNTED:
+        return counted(left, right, within, a, b, threshold)
     one, other = (masked(s.filter(F.size("tokens") > 0)) for s in (left, right))
     often = frequencies(one, other)
     pairs = candidates(prefixes(one, often, [*within, a], threshold), prefixes(other, often, [*within, b], threshold), within, a, b, threshold)

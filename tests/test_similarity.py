@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -150,3 +151,24 @@ def test_a_search_stores_less_than_its_texts(spark, monkeypatch):
     assert len(rows) < len(want) / 20
     placed = {(r.ticker, t, r.chunk) for r in rows for t in r.terms.split("\n")}
     assert len(placed) == len({(k, t) for k, t, _ in placed})
+
+
+def test_low_thresholds_move_whole_sets_once(spark):
+    """At 0.1 prefixes are nearly the sets: their rows were exchanged several times, now a left set travels once, as one row."""
+    left, right = drawn(1, 120), drawn(2, 60)
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, tokens array<string>")
+    pairs = S.similar(frame(left, "a"), frame(right, "b").limit(60), "a", "b", 0.1)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and plan.count("Join Inner") == 1 and "sort" not in plan.lower()
+    some = spark.createDataFrame([(1, [f"x{i}" for i in range(500)]), (2, ["x1"]), (3, [])], "a long, tokens array<string>")
+    few = spark.createDataFrame([(1, [f"x{i}" for i in range(50)]), (2, []), (3, ["x1", "y"])], "b long, tokens array<string>")
+    assert sorted(tuple(r) for r in S.similar(some, few, "a", "b", 0.1).collect()) == [(1, 1, 0.1), (2, 3, 0.5)]
+
+
+def test_token_sets_of_odd_texts(spark):
+    from barleaf.functions.text import IGNORED, token_set
+
+    given = ["The cat's a CAT, the x y 'z 12 1 q''", "", None, "of AND to", "É ab éab İbc a'", "b a bb aa bb ''"]
+    want = [sorted({w for w in re.findall("[a-z0-9']+", (t or "").lower()) if len(w) > 1 and w not in IGNORED}) for t in given]
+    got = spark.createDataFrame(list(enumerate(given)), "i long, text string").select("i", token_set("text").alias("t")).collect()
+    assert [r.t for r in sorted(got)] == want
