@@ -1,6 +1,6 @@
 """Set-similarity joins: pairs of token sets with a Jaccard similarity of at least t.
 
-Tokens are ordered from rare to frequent.  Two similar sets share one of each
+Tokens are ordered from rare to frequent, by counts per hash bucket.  Two similar sets share one of each
 other's first ``size - ceil(t size) + 1`` tokens, so only those are joined.  A
 candidate must pass three bounds before it leaves the join: the sizes, the
 tokens left behind the shared one (which holds at the pair's first common
@@ -30,9 +30,15 @@ from barleaf.functions.text import jaccard
 CELL = 4096
 #: Thresholds from which prefixes are used.
 COUNTED = 0.3
+#: Hash buckets of tokens that are counted: a table of fixed size, which may be broadcast.
+BUCKETS = 1 << 18
 MASKS = ["_m0", "_m1", "_m2", "_m3"]
 
 
+def bucket(token: str) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 def masked(sets: DataFrame) -> DataFrame:
     """``sets`` with the size of ``tokens`` and a 256-bit mask of their hashes."""
 
@@ -46,22 +52,31 @@ def masked(sets: DataFrame) -> DataFrame:
 
 
 def frequencies(*sides: DataFrame) -> DataFrame:
-    """Sets per token over all sides."""
-    tokens = [s.select(F.explode("tokens").alias("token")) for s in sides]
-    rows = tokens[0]
-    for t in tokens[1:]:
-        rows = rows.unionByName(t)
-    return rows.groupBy("token").agg(F.count("*").alias("_df"))
+    """Sets per hash bucket of tokens over all sides; at most ``BUCKETS`` rows."""
+    rows = None
+    for s in sides:
+        some = s.select(F.explode("tokens").alias("token"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rows.groupBy(bucket("token").alias("_bucket")).agg(F.count("*").alias("_df"))
 
 
 def prefixes(sets: DataFrame, often: DataFrame, key: Sequence[str], threshold: float) -> DataFrame:
-    """One row per set and prefix token: key, size, masks, ``token`` and its place ``_at`` in the set's order."""
-    tokens = sets.select(*key, F.explode("tokens").alias("token")).join(often, "token")
-    order = F.array_sort(F.collect_list(F.struct("_df", "token")))
+    """One row per set and prefix token: key, size, masks, ``token`` and its place ``_at`` in the set's order.
+
+    Any order that all sets share is right; the counts of ``often`` only make it
+    one from rare to frequent.  ``sets`` are dealt by key, so tokens meet their
+    counts and each other in the task that holds the set.
+    """
+    spark = sets.sparkSession
+    dealt = sets.select(*key, "tokens").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    tokens = dealt.withColumn("tokens", F.explode("tokens")).withColumn("_bucket", bucket("tokens")).join(F.broadcast(often), "_bucket")
+    order = F.sort_array(F.collect_list(F.struct("_df", F.col("tokens").alias("token"))))
+    whole = tokens.groupBy(*key).agg(order.alias("_order")).withColumn("tokens", F.transform("_order", lambda t: t["token"]))
+    whole = masked(whole).drop("tokens")
     n = F.size("_order")
     front = F.slice("_order", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
-    ranked = tokens.groupBy(*key).agg(order.alias("_order")).select(*key, F.posexplode(front).alias("_at", "_t"))
-    return ranked.select(*key, "_at", F.col("_t.token").alias("token")).join(sets.select(*key, "size", *MASKS), list(key))
+    ranked = whole.select(*key, "size", *MASKS, F.posexplode(front).alias("_at", "_t"))
+    return ranked.select(*key, "_at", F.col("_t.token").alias("token"), "size", *MASKS)
 
 
 def candidates(left: DataFrame, right: DataFrame, within: Sequence[str], a: str, b: str, threshold: float, when: Column | None = None) -> DataFrame:
@@ -111,7 +126,7 @@ def similar(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float,
     """
     if threshold < COUNTED:
         return counted(left, right, within, a, b, threshold)
-    one, other = (masked(s.filter(F.size("tokens") > 0)) for s in (left, right))
+    one, other = (s.filter(F.size("tokens") > 0) for s in (left, right))
     often = frequencies(one, other)
     pairs = candidates(prefixes(one, often, [*within, a], threshold), prefixes(other, often, [*within, b], threshold), within, a, b, threshold)
     return verified(pairs, one, other, within, a, b, threshold)

@@ -172,3 +172,15 @@ def test_token_sets_of_odd_texts(spark):
     want = [sorted({w for w in re.findall("[a-z0-9']+", (t or "").lower()) if len(w) > 1 and w not in IGNORED}) for t in given]
     got = spark.createDataFrame(list(enumerate(given)), "i long, text string").select("i", token_set("text").alias("t")).collect()
     assert [r.t for r in sorted(got)] == want
+
+
+def test_tokens_are_ranked_where_their_set_is(spark, monkeypatch):
+    """Exploded tokens took two exchanges and two joins; now sets are dealt once, and any counts give right pairs."""
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "a long, tokens array<string>")
+    left = [t for t in drawn(4, 120) if t]
+    sets = frame(left)
+    plan = S.prefixes(S.masked(sets), S.frequencies(sets).limit(9), ["a"], 0.5)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Join Inner") == 1
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    got = {(r.a, r.b) for r in S.similar(sets, frame(left).withColumnRenamed("a", "b"), "a", "b", 0.5).collect()}
+    assert got == {(i, j) for (i, x), (j, y) in itertools.product(enumerate(left), repeat=2) if len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))}
