@@ -12,7 +12,13 @@ once in 4,096 times.  In each round the first ``LEADERS`` members of a bucket, i
 one order for all buckets, meet all the others.  Before a pair leaves their join
 it must pass the bound that the set sizes give, and agree in ``AGREE`` of the
 minima, which the bands of both sides tell (a pair at 0.8 agrees in 80 of 100 on
-average, and in fewer than 50 once in 10^11 times).  Linked documents become one,
+average, and in fewer than 50 once in 10^11 times).  It must also be able to reach
+the similarity by both sides' masks.  A mask holds the parity of the set's shingles
+at ``SPREAD`` or more positions a shingle, so every position in which two masks
+differ stands for a shingle that only one side has: a bound that loses no link, and
+near enough that a crowd's pairs below the similarity don't leave the join.  Masks
+have a power of two of positions, and the longer one is folded to the shorter.
+Texts are read for the pairs that are left.  Linked documents become one,
 the leaders have met their bucket and leave it, and the next round has ``MORE``
 times as many leaders, so rounds grow with the logarithm of a bucket.  A pair that
 shares several buckets counts in the first of them only.  At the end no
@@ -56,6 +62,7 @@ BANDS = 20
 ROWS = 5
 AGREE = 50
 LANE = 12
+SPREAD = 2
 LEADERS = 2
 MORE = 8
 PARTS = 64
@@ -92,6 +99,13 @@ def bands(least: np.ndarray) -> np.ndarray:
     return (lanes << LANE * np.arange(ROWS)).sum(axis=1)
 
 
+def mask(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the number of hashes at each of a power of two of positions, as longs."""
+    longs = 1 << (max(1, -(-SPREAD * len(hashes) // 64)) - 1).bit_length()
+    odd = np.bincount((hashes & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _agreeing(x: Column, y: Column) -> Column:
     """Minima in which two documents' bands agree."""
 
@@ -102,18 +116,32 @@ def _agreeing(x: Column, y: Column) -> Column:
     return F.lit(BANDS * ROWS) - F.aggregate(F.zip_with(x, y, unlike), F.lit(0), lambda s, n: s + n)
 
 
+def _unshared(x: Column, y: Column) -> Column:
+    """At least so many shingles are in one of the sets only, by their masks; 0 where these are not within a factor of two."""
+
+    def folded(v: Column) -> Column:
+        half = F.shiftright(F.size(v), 1)
+        return F.zip_with(F.slice(v, F.lit(1), half), F.slice(v, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    def differing(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+
+    p, q = F.size(x), F.size(y)
+    return F.when(p == q, differing(x, y)).when(p == 2 * q, differing(folded(x), y)).when(2 * p == q, differing(x, folded(y))).otherwise(F.lit(0))
+
+
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """``rows(row, text, number)`` with the set's digest, size and bands; the text stays in the row."""
+    """``rows(row, text, number)`` with the set's digest, size, bands and mask; the text stays in the row."""
 
     def work(batches):
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.slice(at, 256)
                 sets = [shingles(t, width) for t in some.column(1).to_pylist()]
-                columns = [pa.array([hashlib.sha256(s).digest() for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([bands(minima(s)) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *columns], ["row", "number", "digest", "n", "buckets"])
+                columns = [pa.array([hashlib.sha256(s).digest() for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), *(pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (lambda s: bands(minima(s)), mask))]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *columns], ["row", "number", "digest", "n", "buckets", "mask"])
 
-    schema = rows.select("row", "number").schema.add("digest", T.BinaryType()).add("n", T.LongType()).add("buckets", T.ArrayType(T.LongType()))
+    schema = rows.select("row", "number").schema.add("digest", T.BinaryType()).add("n", T.LongType()).add("buckets", T.ArrayType(T.LongType())).add("mask", T.ArrayType(T.LongType()))
     return rows.mapInArrow(work, schema)
 
 
@@ -147,12 +175,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def _leaders(members: DataFrame, n: int) -> DataFrame:
-    """``(band, bucket, head, m, theirs)``: the first ``n`` members of every bucket in the order of their numbers' hash."""
+    """``(band, bucket, head, m, theirs, their_mask)``: the first ``n`` members of every bucket in the order of their numbers' hash."""
     order = F.xxhash64("node")
     part = Window.partitionBy("band", "bucket", F.pmod(order, F.lit(PARTS))).orderBy(order, "node")
     some = members.withColumn("at", F.row_number().over(part)).where(F.col("at") <= n)
     some = some.withColumn("at", F.row_number().over(Window.partitionBy("band", "bucket").orderBy(order, "node"))).where(F.col("at") <= n)
-    return some.select("band", "bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("buckets").alias("theirs"))
+    return some.select("band", "bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("buckets").alias("theirs"), F.col("mask").alias("their_mask"))
 
 
 def _met(members: DataFrame, heads: DataFrame, similarity: float, agree: int) -> DataFrame:
@@ -163,7 +191,10 @@ def _met(members: DataFrame, heads: DataFrame, similarity: float, agree: int) ->
     # two leaders of a bucket meet once
     once = ~(F.col("leads") & (F.col("node") < F.col("head")))
     led = members.join(heads.select(*BUCKET, F.col("head").alias("node"), F.lit(True).alias("is_head")), [*BUCKET, "node"], "left").withColumn("leads", F.coalesce("is_head", F.lit(False)))
-    fits = bound & once & first & (_agreeing(F.col("buckets"), F.col("theirs")) >= agree)
+    # as many shared shingles as the masks allow, held against the similarity just as the sets will be
+    most = (F.col("n") + F.col("m") - _unshared(F.col("mask"), F.col("their_mask"))) / 2
+    reach = most >= similarity * (F.col("n") + F.col("m") - most)
+    fits = bound & once & first & (_agreeing(F.col("buckets"), F.col("theirs")) >= agree) & reach
     return led.join(heads, BUCKET).where(fits).select("node", "head")
 
 
@@ -172,7 +203,7 @@ def representatives(docs: DataFrame, text: str = "text", width: int = WIDTH, sim
     rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("number"))
     signed = stored(_signed(rows, width), "signed")
     # equal sets are one node, told by its first row's number
-    nodes = signed.groupBy("digest").agg(F.min("number").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    nodes = signed.groupBy("digest").agg(F.min("number").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("mask").alias("mask"))
     nodes = stored(nodes.drop("digest"), "nodes")
     texts = signed.select(F.col("number").alias("node"), F.col(f"row.`{text}`").cast("binary").alias("text"))
     kept = nodes.select("node")
@@ -183,7 +214,7 @@ def representatives(docs: DataFrame, text: str = "text", width: int = WIDTH, sim
         return members.join(sizes, BUCKET, "left_semi")
 
     thin = shared(nodes.select("node", F.posexplode("buckets").alias("band", "bucket")))
-    members, leaders = stored(thin.join(nodes.select("node", "n", "buckets"), "node"), "members"), LEADERS
+    members, leaders = stored(thin.join(nodes.select("node", "n", "buckets", "mask"), "node"), "members"), LEADERS
     while not members.isEmpty():
         heads = stored(_leaders(members, leaders), "heads")
         pairs = stored(_met(members, heads, similarity, agree), "pairs")

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barleaf.llm import lines, pages, partitions, quality, queries, secrets, shingles
+from barleaf.llm.common import components
 from tests.llm.conftest import CLASH, SF
 from tests.llm.test_documents import pieces_are_whole, slow_fingerprint
 
@@ -393,3 +394,57 @@ def test_bands_tell_equal_minima(spark):
     rows.append((rows[0][0], rows[0][0], 100))
     df = spark.createDataFrame(rows, "x array<long>, y array<long>, same int").select("same", shingles._agreeing(F.col("x"), F.col("y")).alias("got"))
     assert all(r.same <= r.got <= r.same + 2 for r in df.collect())
+
+
+def test_a_crowd_below_the_similarity_leaves_hardly_a_pair(spark, monkeypatch):
+    """Pairs that agree in half of the minima and can't reach the similarity don't leave the bucket's join."""
+    pick = random.Random(9)
+    base = [f"p{i}" for i in range(120)]
+    texts = [" ".join(w if pick.random() > 0.045 else f"x{pick.randrange(10**9)}" for w in base) for _ in range(200)]
+    made, kept = [], shingles.stored
+
+    def spy(df, label):
+        out = kept(df, label)
+        if label == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "stored", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [slow_shingles(r.text) for r in shingles.representatives(df).collect()]
+    assert not any(len(x & y) >= 0.8 * len(x | y) for i, x in enumerate(left) for y in left[:i])
+    least = [shingles.minima(shingles.shingles(t.encode())) for t in texts]
+    agree = sum((x == y).sum() >= shingles.AGREE for i, x in enumerate(least) for y in least[:i])
+    assert len(left) > 20 and agree > 5000 and sum(made) < agree / 10
+
+
+def test_masks_never_tell_more_than_the_sets(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (1, 2, 5, 31, 32, 33, 64, 120, 300, 1024, 1030, 3000):
+        for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+            x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for m in {n, max(1, n * 4 // 5), n + n // 4, 3 * n}:
+                y = np.unique(np.r_[x[: int(share * min(n, m))], rng.integers(0, 2**64, m - int(share * min(n, m)), dtype=np.uint64)])
+                rows.append(([int(v) for v in shingles.mask(x)], [int(v) for v in shingles.mask(y)], len(np.setxor1d(x, y)), len(x), len(y)))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, apart int, n int, m int")
+    got = df.withColumn("least", shingles._unshared(F.col("x"), F.col("y"))).collect()
+    assert all(0 <= r.least <= r.apart and (r.apart - r.least) % 2 == 0 for r in got if max(len(r.x), len(r.y)) <= 2 * min(len(r.x), len(r.y)))
+    assert all(r.least == 0 for r in got if max(len(r.x), len(r.y)) > 2 * min(len(r.x), len(r.y)))
+    near = [r for r in got if 0.7 * max(r.n, r.m) <= min(r.n, r.m) and 50 < r.n and r.apart < 0.3 * (r.n + r.m)]
+    assert sum(r.apart for r in near) > 1000 and sum(r.least for r in near) > 0.6 * sum(r.apart for r in near)
+
+
+def test_few_links_are_read_by_few_tasks(spark):
+    """Components of a small graph don't keep the shuffle's width from round to round."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        chain = spark.createDataFrame([(i, i + 1) for i in range(100) if i % 10 != 9], "a long, b long")
+        got = components(chain)
+        assert {(r.node, r.label) for r in got.collect()} == {(i, i // 10 * 10) for i in range(100)}
+        assert "RDD" not in got._jdf.queryExecution().optimizedPlan().toString()  # a checkpoint has as many partitions as the shuffle
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
