@@ -448,3 +448,42 @@ def test_few_links_are_read_by_few_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+
+
+def test_words_of_articles_are_in_the_suffix_array(spark):
+    """Runs equal brute force over all words of a host's pages, and a menu known from one page goes from articles."""
+    pick = random.Random(21)
+    menu = "home news weather sports culture travel money letters about contact"
+    links = "".join(f"<a href=/{w}>{w}</a> " for w in menu.split())
+    shared = [" ".join(f"s{j}x{k}" for k in range(pick.randint(6, 14))) for j in range(9)]
+
+    def words():
+        return " ".join(pick.choice(shared) if pick.random() < 0.6 else f"u{pick.randrange(30)}" for _ in range(pick.randint(0, 5)))
+
+    pages_, plain = [], []
+    for i in range(80):
+        inside, outside = [words() for _ in range(pick.randint(0, 3))], [words() for _ in range(2)]
+        url = f"http://h{i % 5}.example/{i}"
+        article = f"<article>{''.join(f'<p>{t}</p>' for t in inside)}</article>"
+        pages_.append((i, url, f"<div>{outside[0]}</div>{article}<nav>{outside[1]}</nav>", None))
+        plain.append((url.split("/")[2], *(" ".join(t for t in x if t).split() for x in (outside, inside))))
+    df = spark.createDataFrame(pages_, "row long, url string, html string, page_id string").select("row", "page_id", "url", "html")
+    read = pages._read(df.repartition(4), "string")
+    held = {}
+    for i, (host, *streams) in enumerate(plain):
+        for outside, s in zip((True, False), streams):
+            for k in range(len(s) - pages.RUN + 1):
+                held.setdefault((host, *s[k : k + pages.RUN]), {}).setdefault(i, set()).add(outside)
+    want = {int(pages._keys(h, pages._stream(None, " ".join(s))[1], pages.RUN)[0]): sum(True in x for x in on.values()) for (h, *s), on in held.items() if len(on) > 1}
+    least = pages._bits(pages._counted(read).cache(), "key")
+    found = pages._bits(pages._counted(read, least).cache(), "key")
+    got = [tuple(r) for r in pages._runs(pages.suffix_array(pages._cut_suffixes(read, least, found))).collect()]
+    assert dict(got) == want and len(got) == len(want) and 0 in want.values() and 1 in want.values()
+
+    own = [" ".join(f"own{i}x{k}" for k in range(30)) for i in range(9)]
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{own[i]}</p><div>{links}</div></article>") for i in range(6)]
+    rows += [(6, "http://h.example/", f"<nav>{links}</nav><article><p>{own[6]}</p></article>")]  # the menu stands outside on this page only
+    rows += [(7, "http://h.example/list", f"<div>{own[0]}</div><div>{own[7]}</div>")]  # an article's words on a page without one
+    rows += [(8, "http://other.example/", f"<article><p>{own[8]}</p><div>{links}</div></article>")]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own[i] for i in range(7)} | {7: f"{own[0]}\n{own[7]}", 8: f"{own[8]}\n{menu}"}
